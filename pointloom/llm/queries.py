@@ -6,8 +6,9 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pointloom.llm import common, token_store
+from pointloom.llm import common, mixing, quality_rules, token_store
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -27,5 +28,24 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
-QUERIES = {"op1_token_store": op1_token_store}
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = common.staged(mixing.units(common.table(spark, sf_dir, "documents")), "mix-units")
+    mixed = mixing.mix(unit).withColumn("taken", F.col("copies") * F.col("size"))
+    rows = mixed.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")), "doc_id", "size", "source_size", "target", "taken", "copies")
+    return rows.drop("col")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    trusted = quality_rules.trusted_ids(common.table(spark, sf_dir, "labels"))
+    ratio = common.staged(quality_rules.ratios(docs, trusted), "quality-ratios")
+    judged = quality_rules.judge(docs, ratio)
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+QUERIES = {
+    "op1_token_store": op1_token_store,
+    "op3_mixing": op3_mixing,
+    "op8_quality_rules": op8_quality_rules,
+}
 ORACLES: dict[str, str] = {}
