@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, mixing, quality_rules, token_store
+from pointloom.llm import common, mixing, quality_rules, simhash, token_store
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -43,9 +43,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = common.staged(simhash.fingerprints(common.table(spark, sf_dir, "documents")), "fingerprints")
+    return simhash.near_duplicates(fps).select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_mixing": op3_mixing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
