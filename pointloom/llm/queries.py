@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, mixing, quality_rules, simhash, token_store
+from pointloom.llm import common, mixing, quality_rules, secrets, simhash, token_store
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -48,10 +48,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(fps).select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(common.table(spark, sf_dir, "documents"))
+    counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("row.doc_id", *counts, F.sha2(secrets.listed("spans", base=True), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_mixing": op3_mixing,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
+    "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_secrets": secrets.oracle()}
