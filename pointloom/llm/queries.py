@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, mixing, quality_rules, secrets, simhash, token_store
+from pointloom.llm import common, mixing, pieces, quality_rules, secrets, simhash, token_store
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -35,6 +35,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("col")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_documents(common.table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), ["doc_id"])
+    return coded.drop("ids")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     trusted = quality_rules.trusted_ids(common.table(spark, sf_dir, "labels"))
@@ -57,6 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_mixing": op3_mixing,
+    "op4_sentencepiece": op4_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
