@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, mixing, pieces, quality_rules, secrets, simhash, token_store
+from pointloom.llm import common, media, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_store, toxicity
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -40,6 +40,22 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    media.store_texts(common.table(spark, sf_dir, "documents"), path)
+    return media.read_stored(spark, path)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     trusted = quality_rules.trusted_ids(common.table(spark, sf_dir, "labels"))
@@ -63,6 +79,9 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_model": op5_quality_model,
+    "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
