@@ -102,9 +102,13 @@ def _fold(level: int) -> str:
     )
 
 
+def word_count(text: Column) -> Column:
+    return F.regexp_count(common.whole_text(text), F.lit(common.WORD)).cast("long")
+
+
 def units(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, source, size, n: rows that agree in all three are one unit."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(common.whole_text(F.col(text_col)), F.lit(common.WORD)).cast("long").alias("size"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     return d.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
 
 

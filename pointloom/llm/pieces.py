@@ -26,6 +26,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -239,7 +240,7 @@ def _coder(path: str):
                     same = encoder.decode(values) == normal[len(encoder.prefix) :]
                     rows.append((values, len(values), zlib.crc32(ids), parity, same))
                 cols = list(zip(*rows, strict=True))
-                ids = pa.ListArray.from_arrays(pa.array([0, *_running(cols[1])], pa.int32()), pa.array(memoryview(b"".join(v.tobytes() for v in cols[0])).cast("i")))
+                ids = pa.ListArray.from_arrays(pa.array([0, *_running(cols[1])], pa.int32()), pa.array(np.frombuffer(b"".join(v.tobytes() for v in cols[0]), np.int32)))
                 new = [ids, *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.bool_(), pa.bool_()), strict=True))]
                 rest = [batch.column(i).slice(at - len(part), len(part)) for i in range(1, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, *new], names=[*batch.schema.names[1:], *names])

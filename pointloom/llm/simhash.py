@@ -166,5 +166,37 @@ def near_duplicates(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
     return fps.join(common.staged(of, "class-components"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary())
+        fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp.view(np.int64))], names=[*batch.schema.names[1:], "__fp"])
+
+
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` of which each stands for its component.
+
+    It is the row with the least id, ids that are null last, then the least
+    fingerprint; of rows that agree in both, one stays.
+    """
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    d = docs.select(common.whole_text(F.col(text_col)).alias("__text"), "*").mapInArrow(_with_fingerprint, f"{kept}, __fp bigint")
+    d = common.staged(d, "fingerprinted")
+    fps = d.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
+    roots = component_roots(fps, most)
+    first = fps.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "fp")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("__first"), F.col("r.fp").alias("__first_fp"))
+    one = d.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__first")) & (F.col("__fp") == F.col("__first_fp")), "left_semi")
+    return one.dropDuplicates([id_col, "__fp"]).drop("__fp")
+
+
+def component_roots(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
+    """fp, root: the component of each distinct fingerprint."""
+    classes = common.staged(fps.select("fp").distinct(), "classes")
+    nodes = components.components(links(classes, most))
+    named = classes.join(nodes, classes["fp"] == nodes["node"], "left")
+    return common.staged(named.select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
