@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, media, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_store, toxicity
+from pointloom.llm import chat, common, media, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_store, toxicity
 
 TOKENIZERS = os.environ.get("POINTLOOM_TOKENIZERS")
 
@@ -28,6 +28,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(common.table(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = common.staged(mixing.units(common.table(spark, sf_dir, "documents")), "mix-units")
     mixed = mixing.mix(unit).withColumn("taken", F.col("copies") * F.col("size"))
@@ -77,6 +81,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_tool_calls": op2_tool_calls,
     "op3_mixing": op3_mixing,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_model": op5_quality_model,
