@@ -107,7 +107,7 @@ def repair_json(v: Column) -> Column:
     for theirs, ours in (("True", "true"), ("False", "false"), ("None", "null")):
         s = F.regexp_replace(s, rf"(?<=[:\[,\s]){theirs}(?=[,\]}}\s])", ours)
     opened = F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))
-    closed = F.when(opened > 0, F.concat(s, F.repeat(F.lit("}"), opened))).otherwise(s)
+    closed = F.when(opened > 0, F.concat(F.regexp_replace(s, r",\s*$", ""), F.repeat(F.lit("}"), opened))).otherwise(s)
     return F.coalesce(extract_json(s), extract_json(closed))
 
 

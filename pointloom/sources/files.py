@@ -33,7 +33,7 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str)
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no (from 1), value. A file is one row while it is cut, as line numbers need it whole."""
-    d = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    d = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     return d.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
 
 

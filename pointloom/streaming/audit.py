@@ -24,17 +24,17 @@ def latest_state(log: DataFrame, target: str, checkpoint: str, keys: list[str],
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        state = spark.read.schema(schema).parquet(f"{target}/v={number - 1}") if number else spark.createDataFrame([], schema)
+        state = spark.read.schema(schema).parquet(f"{target}/state_version={number - 1}") if number else spark.createDataFrame([], schema)
         done = windows.last_wins(state.unionByName(batch), keys, seq).drop("first_seq").select(*schema.names)
-        done.write.mode("overwrite").parquet(f"{target}/v={number}")
+        done.write.mode("overwrite").parquet(f"{target}/state_version={number}")
 
     return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_state(spark: SparkSession, target: str, schema: str) -> DataFrame:
-    every = spark.read.schema(f"{schema}, v long").option("basePath", target).parquet(f"{target}/v=*")
-    newest = every.agg(F.max("v")).scalar()
-    return every.filter(F.col("v") == newest).drop("v")
+    every = spark.read.schema(f"{schema}, state_version long").option("basePath", target).parquet(f"{target}/state_version=*")
+    newest = every.agg(F.max("state_version")).scalar()
+    return every.filter(F.col("state_version") == newest).drop("state_version")
 
 
 def windowed_counts(log: DataFrame, time: str, late: str, width: str, by: list[str]) -> DataFrame:
