@@ -63,7 +63,7 @@ def _uniform(*parts: Column) -> Column:
 
 
 #: Fold of a bucket's units. ``open`` is the one unit that is still fractional.
-#: a: words that can move from y to x; b: from x to y.
+#: a: words that can move from y to x; b: from x to y. The chance of the first is b / (a + b), so expectations stay.
 _FOLD = """
 aggregate(units, named_struct('done', cast(array() AS array<{t}>), 'open', cast(NULL AS {t})),
   (s, y) -> CASE
@@ -74,7 +74,7 @@ aggregate(units, named_struct('done', cast(array() AS array<{t}>), 'open', cast(
         'b', least(s.open.mass * s.open.part, y.mass * (1D - y.part)),
         'u', shiftrightunsigned(xxhash64({seed}, {level}, s.open.h, y.h), 11) * {unit})),
       s, (z, m) -> CASE
-        WHEN m.u * (m.a + m.b) < m.a THEN CASE
+        WHEN m.u * (m.a + m.b) < m.b THEN CASE
           WHEN s.open.mass * (1D - s.open.part) <= y.mass * y.part
           THEN named_struct('done', concat(s.done, array({x1})), 'open', {y_less})
           ELSE named_struct('done', concat(s.done, array({y0})), 'open', {x_more}) END

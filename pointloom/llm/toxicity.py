@@ -6,8 +6,9 @@ their log ratio. It is a trie; each word is run through the product of the trie
 and an automaton of bounded edit distance, made deterministic as states are
 met, so a word costs a few table steps and misspelled terms are found.
 
-Each hit is weighed by the words around it: quotation marks and verbs of
-speaking take weight away, address in the second person adds some. A boosted
+Each hit is weighed by the words around it: one inside quotation marks, or
+beside some with a verb of speaking, is talk about the term and does not count
+as use; address in the second person adds weight. A boosted
 tree model over a document's sums gives the score; lexicon and model learn from
 two halves of the labelled rows, so the model sees how the lexicon does on rows
 that it was not made from.
@@ -177,6 +178,16 @@ def _plain(chunk: bytes) -> str:
     return _EDGE.sub("", chunk.decode().lower())
 
 
+def _quoted(around: list[str], at: int, spoken: bool) -> bool:
+    """Whether the chunk at ``at`` stands inside quotation marks, or beside some where someone speaks."""
+    here = around[at]
+    word = _EDGE.sub("", here)
+    head, _, tail = here.partition(word)
+    before, after = " ".join(around[:at]) + head, tail + " ".join(around[at + 1 :])
+    marks = [sum(part.count(q) for q in QUOTES) for part in (before, after)]
+    return (marks[0] % 2 == 1 and marks[1] > 0) or (spoken and sum(marks) > 0)
+
+
 class Matcher:
     def __init__(self, lexicon: Lexicon):
         lexicon.compile()
@@ -209,18 +220,19 @@ class Matcher:
             term, edits, weight = hits[i]
             around = [c.decode().lower() for c in chunks[max(0, i - WINDOW) : i + WINDOW + 1]]
             at = min(i, WINDOW)
-            before, after = "".join(around[: at + 1]), "".join(around[at:])
-            in_quotes = any(q in before for q in QUOTES) and any(q in after for q in QUOTES)
             words = {_EDGE.sub("", a) for a in around}
-            is_quoted = in_quotes or bool(words & SPEECH and any(q in before + after for q in QUOTES + "'‘’"))
+            if _quoted(around, at, bool(words & SPEECH)):
+                # talk about a term is no use of it: it counts among the quoted alone
+                quoted += 1
+                continue
             is_direct = bool(words & ADDRESS)
-            factor = (0.4 if edits else 1.0) * (0.25 if is_quoted else 1.15 if is_direct else 1.0)
-            exact, fuzzy = exact + (edits == 0), fuzzy + (edits > 0)
-            quoted, direct = quoted + is_quoted, direct + is_direct
+            factor = (0.4 if edits else 1.0) * (1.15 if is_direct else 1.0)
+            exact, fuzzy, direct = exact + (edits == 0), fuzzy + (edits > 0), direct + is_direct
             total, weighed, top = total + weight, weighed + factor * weight, max(top, factor * weight)
             strong += factor * weight >= 2.5
             terms.add(term)
-        return [weighed, top, strong, exact, fuzzy, quoted, direct, float(len(terms)), weighed / n, strong / n, total / len(places), len(places) / n]
+        used = max(1.0, exact + fuzzy)
+        return [weighed, top, strong, exact, fuzzy, quoted, direct, float(len(terms)), weighed / n, strong / n, total / used, (exact + fuzzy) / n]
 
 
 _held: dict[tuple, Matcher] = {}
