@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NAMED = {"front": (0, 0), "back": (180, 0), "left": (90, 0), "right": (-90, 0), "top": (0, 90), "bottom": (0, -90), "iso": (45, 30)}
@@ -113,3 +113,38 @@ def above_body(pixels: DataFrame, keys: list[str], point: str, margin: int, shar
     """Distinct points that are seen above the body's top."""
     d = pixels.join(body_top(pixels, keys, share), keys).filter(F.col("py") < F.col("body_top") - margin)
     return d.select(*keys, point).distinct()
+
+
+def component_proposals(pixels: DataFrame, keys: list[str], view: str, point: str, totals: DataFrame, size: int, radius: int = 2, least: int = 8, most_share: float = 0.22) -> DataFrame:
+    """keys, seed, point: parts that stand out in a view, united over views.
+
+    Above each view's body, pixels are dilated and cut into components; one
+    counts if it shows between ``least`` points and the whole-number share of
+    all. Detached ones are small beside the largest and lie high in the image;
+    small ones are much smaller than the largest.
+    """
+    on = [*keys, view]
+    high = pixels.join(body_top(pixels, on), on).filter("py < body_top").select(*on, "px", "py").distinct()
+    parts = components_2d(dilate(high, on, radius, size), on)
+    boxes = component_boxes(parts, on)
+    most = boxes.groupBy(*on).agg(F.max("area").alias("most"))
+    shown = parts.join(pixels, [*on, "px", "py"]).select(*on, "component", point).distinct()
+    n = shown.groupBy(*on, "component").agg(F.count("*").alias("n")).join(totals, keys)
+    ok = n.filter((F.col("n") >= least) & (F.col("n") <= F.floor(F.col("n_points") * F.lit(most_share)))).select(*on, "component")
+    d = boxes.join(most, on).join(ok, [*on, "component"])
+    up = F.expr(f"area < 0.45 * most AND (cy <= {0.58 * size} OR y1 <= {0.42 * size})")
+    small = F.expr("area < 0.18 * most")
+    seed = F.array_compact(F.array(F.when(up, F.lit("visual_detached_component")), F.when(small, F.lit("visual_small_component"))))
+    d = d.select(*on, "component", F.explode(seed).alias("seed"))
+    return shown.join(d, [*on, "component"]).select(*keys, "seed", point).distinct()
+
+
+def component_score(upper: Column, small: Column, bonus: Column) -> Column:
+    """Score of a hook component: twice if it is high, half a point if small, and a bonus."""
+    return F.when(upper, 2.0).otherwise(0.0) + F.when(small, 0.5).otherwise(0.0) + bonus
+
+
+def point_count(views: DataFrame, pixels: DataFrame, key: str, point: str) -> DataFrame:
+    """key, n_points: the manifest's number, else the largest point that is seen plus one."""
+    seen = pixels.groupBy(key).agg((F.max(point) + 1).alias("seen"))
+    return views.select(key, "num_points").distinct().join(seen, key, "left").select(key, F.coalesce("num_points", "seen").alias("n_points"))

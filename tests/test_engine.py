@@ -264,3 +264,33 @@ def test_pipeline(spark):
     out = pipeline.run(pts, pilots, pipeline.DryRun(view="v", kind="selected", confidence=1.0), base, 1, "standard")
     left = {(r.executor, r.point_idx) for r in out["masks"].collect()}
     assert ("gripper", 0) in left and out["scored"].count() > 0
+
+
+def test_model_output(spark):
+    from pointloom.functions import model_output as m
+
+    raw = '```json\n{"target_part_names": [" a ", "a", "b"], "confidence": "2", "feasible": false}\n```'
+    p = one(spark, m.plan(F.lit(raw)))
+    assert (p.target_positive_parts, p.confidence, p.feasible) == (["a", "b"], 1.0, False)
+    assert one(spark, m.plan(F.lit("no json"))).target_positive_parts == []
+    s = one(spark, m.selection(F.lit('{"selected": ["a", "x"], "uncertain": ["A", "b"], "confidence": 0.5}'), F.array(F.lit("A"), F.lit("B"))))
+    assert (s.selected_candidates, s.uncertain_candidates, s.rejected_candidates) == (["A"], ["B"], [])
+    reg = '{"target_regions": [{"part_name": "p", "box": [0, 0, 1, 1], "positive_points": [[0.5, 0.5]], "confidence": 0.7}, {"part_name": "q"}, {"box": [5, 5, 20, 20]}]}'
+    r = one(spark, m.regions(F.lit(reg), "target_regions", "target", F.lit(100), F.lit(100), 5, 0.6))
+    assert [(x.box, x.positive_points) for x in r] == [(None, [[50, 50]]), ([5, 5, 20, 20], [])]
+    c_ = one(spark, m.coverage(F.lit("{'bad"), F.lit(10), F.lit(10)))
+    assert c_.coverage_status == "uncertain" and not c_.should_trigger_missing_candidate
+    d = spark.range(1).select("id", m.selection(F.lit('{"selected": ["A"], "uncertain": ["B"]}'), F.array(F.lit("A"), F.lit("B"))).alias("selection"))
+    assert {(x.candidate_id, x.kind) for x in m.explode_selection(d, ["id"]).collect()} == {("A", "selected"), ("B", "uncertain")}
+
+
+def test_component_proposals(spark):
+    body = [("o", "v", x, y, y * 40 + x) for y in range(20, 40) for x in range(40)]
+    knob = [("o", "v", x, y, 5000 + y * 40 + x) for y in range(2, 6) for x in range(3, 7)]
+    px = spark.createDataFrame(body + knob, "obj string, view string, px int, py int, point int")
+    tot = spark.createDataFrame([("o", len(body) + len(knob))], "obj string, n_points int")
+    got = raster.component_proposals(px, ["obj"], "view", "point", tot, 64, 1)
+    assert got.count() == 0  # the only component is the largest one
+    far = [("o", "v", x, y, 9000 + y * 64 + x) for y in range(7, 19) for x in range(20, 26)]
+    got = raster.component_proposals(px.unionByName(spark.createDataFrame(far, px.schema)), ["obj"], "view", "point", tot.withColumn("n_points", F.lit(2000)), 64, 1)
+    assert {r.point for r in got.collect()} == {k[4] for k in knob}
