@@ -537,3 +537,115 @@ def high_recall_candidates(spark: SparkSession, d: str) -> DataFrame:
 def growth_candidates(spark: SparkSession, d: str) -> DataFrame:
     seeds = F.array_compact(F.array(F.when(F.col("x") > 0.1, F.lit("target")), F.when(F.col("y") > 0.2, F.lit("veto")), F.when(F.col("z") > 0, F.lit("weak_hook"))))
     return candidates.rank(candidates.generate(clouds(spark, d).withColumn("seeds", seeds), "obj", "point", "growth"), "obj").drop("points", "extent")
+
+
+# ---- further operators
+
+@query("SELECT c_custkey, coalesce(s.event_type, 'pending') AS status, coalesce(s.event_id, -1) AS event_id FROM customer LEFT JOIN (SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id) s ON c_custkey = s.user_id")
+def latest_review_status(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("status"), "event_id").withColumn("seq", F.col("event_id"))
+    last = windows.last_wins(e, ["c_custkey"], "seq").select("c_custkey", "status", "event_id")
+    return review.reconcile(read(spark, d, "customer").select("c_custkey").withColumn("sample_id", F.col("c_custkey")), last.withColumn("sample_id", F.col("c_custkey")).drop("c_custkey"), ["c_custkey", "sample_id"], {"status": "pending", "event_id": -1}).select("c_custkey", "status", F.col("event_id").cast("long").alias("event_id"))
+
+
+@query(r"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || o_orderkey ELSE concat_ws('|', CASE WHEN trim(o_orderstatus) <> '' THEN o_orderstatus END, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderpriority END, CAST(o_custkey AS VARCHAR)) END AS row_key FROM orders")
+def row_keys(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    explicit = F.when(k % 3 == 0, F.concat("o_orderstatus", k.cast("string"))).otherwise(F.lit(" "))
+    return read(spark, d, "orders").select("o_orderkey", text.row_key(explicit, F.col("o_orderstatus"), F.when(k % 2 == 0, F.lit("")).otherwise(F.col("o_orderpriority")), F.col("o_custkey").cast("string")).alias("row_key"))
+
+
+@query("""WITH w AS (SELECT p_partkey, upper(trim(u.w)) AS w, u.i FROM (SELECT p_partkey, unnest(string_split(p_name || ' ' || p_type || '  ' || p_name, ' ')) AS w, generate_subscripts(string_split(p_name || ' ' || p_type || '  ' || p_name, ' '), 1) AS i FROM part) u),
+f AS (SELECT p_partkey, w, min(i) AS i FROM w WHERE w <> '' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY i) AS n FROM f) SELECT p_partkey, string_agg(w, ',' ORDER BY n) AS items FROM r WHERE n <= 4 GROUP BY ALL""")
+def string_lists(spark: SparkSession, d: str) -> DataFrame:
+    words = F.slice(text.id_list(F.split(F.concat_ws(" ", "p_name", "p_type", F.lit(""), "p_name"), " ")), 1, 4)
+    return read(spark, d, "part").select("p_partkey", F.array_join(words, ",").alias("items"))
+
+
+@query("""WITH r AS (SELECT event_id, (['missing_positive', 'over_label', 'none', 'wrong_region', 'task_mismatch', 'executor_mismatch'])[CAST(event_id % 6 AS INTEGER) + 1] AS issue, (['keep', 'refine', 'disable', 'add_missing', ''])[CAST(event_id % 5 AS INTEGER) + 1] AS decision FROM events)
+SELECT CASE WHEN issue = 'missing_positive' OR decision = 'add_missing' THEN 'missing_label' WHEN issue IN ('over_label', 'wrong_region', 'executor_mismatch', 'task_mismatch') THEN issue WHEN decision = 'refine' THEN 'needs_refinement' WHEN decision = 'disable' THEN 'channel_disabled' ELSE 'other' END AS class,
+CASE WHEN decision = '' THEN '<empty>' ELSE decision END AS decision, count(*) AS n FROM r GROUP BY ALL""")
+def rule_error_classes(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % len(values)).cast("int") + 1)
+    r = read(spark, d, "events").select(pick(["missing_positive", "over_label", "none", "wrong_region", "task_mismatch", "executor_mismatch"]).alias("issue"), pick(["keep", "refine", "disable", "add_missing", ""]).alias("decision"))
+    shown = F.when(F.col("decision") == "", F.lit("<empty>")).otherwise(F.col("decision"))
+    return r.select(text.rule_error(F.col("issue"), F.col("decision")).alias("class"), shown.alias("decision")).groupBy("class", "decision").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SETS}, t AS (SELECT obj, count(DISTINCT point) AS n FROM s GROUP BY obj), c AS (SELECT obj, item, count(*) AS k FROM s GROUP BY ALL) SELECT obj, item, k >= 8 AND k <= floor(n * 0.6::DOUBLE) AS fits, k AS n_points FROM c JOIN t USING (obj)")
+def candidate_size_gate(spark: SparkSession, d: str) -> DataFrame:
+    s = _sets(spark, d)
+    t = s.groupBy("obj").agg(F.countDistinct("point").alias("n"))
+    k = s.groupBy("obj", "item").agg(F.count("*").alias("n_points")).join(t, "obj")
+    return k.select("obj", "item", geometry.size_ok(F.col("n_points"), F.col("n"), 8, 0.6).alias("fits"), "n_points")
+
+
+@query(f"WITH {_SETS}, t AS (SELECT obj, count(*) AS n FROM s GROUP BY obj), g AS (SELECT obj, item FROM s JOIN t USING (obj) GROUP BY obj, item, n HAVING count(*) >= 5 AND count(*) / CAST(n AS DOUBLE) BETWEEN 0.05 AND 0.3) SELECT obj, count(DISTINCT point) AS n_points FROM s SEMI JOIN g USING (obj, item) GROUP BY obj")
+def gated_union(spark: SparkSession, d: str) -> DataFrame:
+    s = _sets(spark, d)
+    t = s.groupBy("obj").agg(F.count("*").alias("n_points"))
+    return geometry.area_gate(s, ["obj", "item"], t, ["obj"], 5, 0.05, 0.3).groupBy("obj").agg(F.countDistinct("point").alias("n_points"))
+
+
+_BOXES = "b AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS id, l_partkey % 50 AS x1, l_suppkey % 50 AS y1, l_partkey % 50 + 8 AS x2, l_suppkey % 50 + 8 AS y2 FROM lineitem WHERE l_quantity = 3)"
+
+
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").filter("l_quantity = 3").selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 50 AS x1", "l_suppkey % 50 AS y1", "l_partkey % 50 + 8 AS x2", "l_suppkey % 50 + 8 AS y2").distinct()
+
+
+@query(f"""WITH {_SPOTS}, {_BOXES}, g AS (SELECT view, id, x1, y1, x2, y2, min(px) FILTER (i) AS a1, min(py) FILTER (i) AS b1, max(px) FILTER (i) AS a2, max(py) FILTER (i) AS b2, min(px) FILTER (n) AS c1, min(py) FILTER (n) AS d1, max(px) FILTER (n) AS c2, max(py) FILTER (n) AS d2
+FROM (SELECT b.*, px, py, px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AS i, abs(px - (x1 + x2) / 2.0) <= 12 AND abs(py - (y1 + y2) / 2.0) <= 12 AS n FROM b LEFT JOIN t USING (view)) GROUP BY view, id, x1, y1, x2, y2)
+SELECT view, id, CAST(coalesce(a1, c1, x1) AS BIGINT) AS x1, CAST(coalesce(b1, d1, y1) AS BIGINT) AS y1, CAST(coalesce(a2, c2, x2) AS BIGINT) AS x2, CAST(coalesce(b2, d2, y2) AS BIGINT) AS y2 FROM g""")
+def box_tighten(spark: SparkSession, d: str) -> DataFrame:
+    t = joins.tighten(_boxes(spark, d), _spots(spark, d), ["view"], "id", 12)
+    return t.select("view", "id", *[F.col(k).cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"WITH {_SPOTS} SELECT view, greatest(min(px) - 3, 0) AS x1, greatest(min(py) - 3, 0) AS y1, least(max(px) + 3, 63) AS x2, least(max(py) + 3, 63) AS y2 FROM t GROUP BY view")
+def union_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return raster.union_box(_spots(spark, d), ["view"], 3, 64)
+
+
+@query("""WITH m AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS sample_id, (['train', 'val', 'test'])[CAST(doc_id % 3 AS INTEGER) + 1] AS meant FROM documents), f AS (SELECT CAST(doc_id + 5 AS VARCHAR) AS sample_id, (['train', 'val', 'test'])[CAST((doc_id + quality) % 3 AS INTEGER) + 1] AS split FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR), 'train' FROM labels WHERE doc_id % 4 = 0),
+s AS (SELECT sample_id, count(DISTINCT split) AS k, count(*) AS n, min(split) AS split FROM f GROUP BY sample_id)
+SELECT * FROM (SELECT 'ERROR' AS level, sample_id, CASE WHEN n IS NULL THEN 'missing from split file' WHEN meant IS NULL THEN 'not in metadata' WHEN k > 1 THEN 'in two splits' WHEN n > 1 THEN 'doubled in split file' WHEN split <> meant THEN 'in another split''s file' END AS message FROM m FULL JOIN s USING (sample_id)) WHERE message IS NOT NULL""")
+def split_file_issues(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda i: F.element_at(F.array(*[F.lit(v) for v in ("train", "val", "test")]), (i % 3).cast("int") + 1)
+    k = F.col("doc_id")
+    m = read(spark, d, "documents").select(k.cast("string").alias("sample_id"), pick(k).alias("split"))
+    labels = read(spark, d, "labels")
+    f = labels.select(pick(k + F.col("quality")).alias("split"), (k + 5).cast("string").alias("sample_id"))
+    return validate.split_issues(m, f.unionByName(labels.filter(k % 4 == 0).select(F.lit("train").alias("split"), k.cast("string").alias("sample_id"))))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+def unfinished_work(spark: SparkSession, d: str) -> DataFrame:
+    done = read(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, d, "orders").select("o_orderkey").join(done.distinct(), "o_orderkey", "left_anti")
+
+
+@query("""WITH w AS (SELECT l_partkey AS id, 'f' || l_suppkey AS path, l_linenumber AS rank FROM lineitem), e AS (SELECT DISTINCT 'f' || s_suppkey AS path FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT id, min(rank) AS rank FROM w SEMI JOIN e USING (path) GROUP BY id""")
+def first_path(spark: SparkSession, d: str) -> DataFrame:
+    w = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_linenumber").alias("rank"))
+    e = read(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"))
+    return joins.first_present(w, e, "id", "path", "rank").select("id", "rank")
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN 'none' ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0.0))) AS confidence FROM events""")
+def json_recovery(spark: SparkSession, d: str) -> DataFrame:
+    wrapped = F.concat(F.lit("```json\nanswer: "), F.col("props"), F.lit("\n```"))
+    given = F.when(F.col("event_id") % 5 == 0, F.lit("none")).otherwise(F.col("value").cast("string"))
+    return read(spark, d, "events").select("event_id", F.get_json_object(text.extract_json(text.repair_json(wrapped)), "$.k").cast("long").alias("k"), text.confidence(given).alias("confidence"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') THEN 'brass' WHEN contains(lower(p_type), 'steel') THEN 'steel' WHEN contains(lower(p_type), 'o') THEN 'o' END AS prior FROM part WHERE contains(lower(p_type), 'brass') OR contains(lower(p_type), 'steel') OR contains(lower(p_type), 'o')")
+def category_priors(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", joins.category_prior(F.col("p_type"), ["brass", "steel", "o"]).alias("prior")).filter("prior IS NOT NULL")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events").select("event_type", F.col("ts"))
+    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
