@@ -6,8 +6,8 @@ bounded; every document is scored, in one map over the rows with the trees as
 flat arrays.
 
 Defined cases: null and empty texts have all-zero statistics and are scored
-like any other; repeated rows are scored each, and the first of a labelled
-doc_id in hash order is learned from; without labelled rows, or with labels of
+like any other; repeated rows are scored each, and of rows with one labelled
+doc_id that with the greatest text is learned from; without labelled rows, or with labels of
 one kind only, the score is constant; other columns are not read.
 """
 
@@ -80,12 +80,17 @@ def chosen(labels: DataFrame, label: str, parts: int, left_out: int, rows: int)
     return d.orderBy(F.xxhash64("train_id"), "train_id").limit(rows)
 
 
+def one_of_each(d: DataFrame) -> DataFrame:
+    """train_id, y, text with one row an id: of repeated ids, the greatest text."""
+    return d.groupBy("train_id").agg(F.max("y").alias("y"), F.max("text").alias("text"))
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> gbdt.Forest:
     """Fit to ``labels.quality`` of rows outside the held-out fold."""
     picked = docs.select(F.col(id_col).alias("id"), common.whole_text(F.col(text_col)).alias("text"))
     # at most ``rows`` pairs of numbers are broadcast
     d = picked.join(F.broadcast(chosen(labels, "quality", 5, 0, rows)), F.col("id") == F.col("train_id"))
-    found = d.select("y", "text").mapInArrow(_stats, "y int, x array<double>").limit(rows).toArrow()
+    found = one_of_each(d).select("y", "text").mapInArrow(_stats, "y int, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(found.num_rows, N_FEATURES)
     y = np.array(found.column("y").to_pylist(), dtype=np.float64)
     # rows come in any order; sums over them must not depend on it

@@ -276,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     picked = docs.select(F.col(id_col).alias("id"), common.whole_text(F.col(text_col)).alias("text"))
     chosen = quality_model.chosen(labels, "toxic", 4, 2, rows)
     # at most ``rows`` pairs of numbers are broadcast
-    d = picked.join(F.broadcast(chosen), F.col("id") == F.col("train_id")).select(F.pmod(F.xxhash64("train_id"), F.lit(2)).alias("half"), F.col("y").cast("int"), "text").limit(rows)
+    d = picked.join(F.broadcast(chosen), F.col("id") == F.col("train_id"))
+    d = quality_model.one_of_each(d).select(F.pmod(F.xxhash64("train_id"), F.lit(2)).alias("half"), F.col("y").cast("int").alias("y"), "text")
     d = common.staged(d, "toxic-training")
     lexicon = learn_lexicon(d.filter("half = 0"))
     found = d.filter("half = 1").select("y", "text").mapInArrow(_rows(lexicon), "y int, x array<double>").toArrow()
