@@ -47,6 +47,19 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sealed(df: DataFrame, keep: list[str], worked_out: list[str]) -> DataFrame:
+    """``keep`` and ``worked_out`` columns of ``df``; filters on the latter are not pushed below them.
+
+    A filter that the optimizer pushed through would put the columns'
+    expressions inside its own, and inside lambda functions they would be
+    worked out again for each element. It does not push filters through a
+    projection that numbers its rows.
+    """
+    number = F.monotonically_increasing_id().alias("__row_number")
+    held = df.select(*keep, F.struct(*worked_out, number).alias("__held"))
+    return held.select(*keep, *[F.col(f"__held.{c}").alias(c) for c in worked_out])
+
+
 def whole_text(text: Column) -> Column:
     """The text with null as empty."""
     return F.coalesce(text, F.lit(""))

@@ -114,15 +114,10 @@ def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", threshold:
     d = base_stats(docs, text_col).withColumn("table", table).withColumn("f", features("t", buckets))
     total = F.expr("aggregate(f, 0D, (s, b) -> s + table[b])")
     d = d.withColumn("score", F.when(F.size("f") == 0, F.lit(0.0)).otherwise(total / F.size("f")))
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("t", "f", "table")
+    d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return common.sealed(d, ["row"], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 
 
 def kept_rows(docs: DataFrame, ratio: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that are kept.
-
-    The filter must stand above the projections: pushed below them, its lambda
-    functions would work out whole arrays again for each element. A filter that
-    asks for a row's number is not pushed.
-    """
-    judged = judge(docs, ratio, **how).select("row", "kept", F.monotonically_increasing_id().alias("number"))
-    return judged.filter("kept AND number >= 0").select("row.*")
+    """The rows of ``docs`` that are kept."""
+    return judge(docs, ratio, **how).filter("kept").select("row.*")

@@ -110,7 +110,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     d = d.withColumn("bits", postings(F.lower("t"), wanted))
     d = d.select("row", "t", *[F.when(_candidate(q, wanted, F.col("bits")) & F.col("t").rlike(r.pattern), _found(r, F.col("t"))).alias(f"m{i}") for i, (r, q) in enumerate(zip(rules, queries, strict=True))])
     found = ", ".join(f"coalesce({_spans(f'm{i}', r, i)}, cast(array() AS array<{_SPAN}>))" for i, r in enumerate(rules))
-    return d.select("row", "t", F.expr(f"array_sort(concat({found}))").alias("spans"))
+    return common.sealed(d.withColumn("spans", F.expr(f"array_sort(concat({found}))")), ["row", "t"], ["spans"])
 
 
 def listed(spans: str, rules: tuple[Rule, ...] = RULES, base: bool = False) -> Column:
