@@ -294,3 +294,20 @@ def test_component_proposals(spark):
     far = [("o", "v", x, y, 9000 + y * 64 + x) for y in range(7, 19) for x in range(20, 26)]
     got = raster.component_proposals(px.unionByName(spark.createDataFrame(far, px.schema)), ["obj"], "view", "point", tot.withColumn("n_points", F.lit(2000)), 64, 1)
     assert {r.point for r in got.collect()} == {k[4] for k in knob}
+
+
+def test_region_documents(spark, tmp_path):
+    from pointloom.sources import regions
+
+    doc = {"executors": {"hook": {"indices": [2, 1, 2]}}, "regions": [{"name": "front panel", "mask": [0, 1, 1], "tasks": "open_pull"}], "extra_ring": [0]}
+    (tmp_path / "r.json").write_text(json.dumps(doc))
+    d = regions.read_regions(spark, str(tmp_path / "r.json"))
+    got = {(r["name"], r.point_idx) for r in d.collect()}
+    assert got == {("hook", 1), ("hook", 2), ("front panel", 1), ("front panel", 2), ("extra_ring", 0)}
+    masks = rules.region_masks(d.withColumn("sample_id", F.lit("s")), "open_pull", "sample_id", "point_idx")
+    assert {(r.executor, r.point_idx) for r in masks.collect()} == {("hook", 0), ("hook", 1), ("hook", 2), ("suction", 1), ("suction", 2)}
+    (tmp_path / "bad.json").write_text('{"executors": {"claw": [1]}}')
+    with pytest.raises(Exception, match="unknown executor"):
+        regions.read_regions(spark, str(tmp_path / "bad.json")).collect()
+    lab = spark.createDataFrame([("o", {"Wrap Grasp": [0.0, 0.4], "lift": [0.0, 0.0]})], "obj string, label map<string,array<double>>")
+    assert [tuple(r) for r in regions.label_masks(lab, "obj").collect()] == [("o", "wrap_grasp", 1)]
