@@ -31,7 +31,8 @@ SMOOTHING = 1.0
 #: A document whose mean log ratio is below is rejected.
 THRESHOLD = -0.3
 SYMBOLS = r"[#*$%&|<>]"
-TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+#: Runs of letters and digits (ASCII ones, and all beyond ASCII), and runs of ASCII marks.
+TOKEN = r"[0-9A-Za-z\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
 
 
 def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -54,15 +55,13 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "sort_array(transform(slice(words, 1, greatest(n - 2, 0)), (w, i) -> shiftleft(xxhash64(w, words[i + 1], words[i + 2]), bits) | cast(i AS bigint)))"
     ))
     d = d.withColumn("near", F.expr(
-        "filter(packed, (x, i) -> (i > 0 AND shiftright(x, bits) = shiftright(packed[greatest(i - 1, 0)], bits))"
-        " OR (i < n - 3 AND shiftright(x, bits) = shiftright(packed[least(i + 1, n - 3)], bits)))"
+        "filter(packed, (x, i) -> shiftrightunsigned(x ^ get(packed, i - 1), bits) = 0 OR shiftrightunsigned(x ^ get(packed, i + 1), bits) = 0)"
     )).drop("packed")
     d = d.withColumn("near", F.expr(
         "array_sort(transform(near, x -> struct(array_join(slice(words, cast(x & (shiftleft(1L, bits) - 1) AS int) + 1, 3), ' ') AS w, x & (shiftleft(1L, bits) - 1) AS at)))"
     ))
     d = d.withColumn("at", F.expr(
-        "sort_array(transform(filter(near, (x, i) -> (i > 0 AND x.w = near[greatest(i - 1, 0)].w)"
-        " OR (i < size(near) - 1 AND x.w = near[least(i + 1, size(near) - 1)].w)), x -> x.at))"
+        "sort_array(transform(filter(near, (x, i) -> x.w = get(near, i - 1).w OR x.w = get(near, i + 1).w), x -> x.at))"
     )).drop("near")
     d = d.withColumn("n_repeat_words", F.expr(
         "aggregate(at, struct(0L AS n, 0L AS upto), (a, p) -> struct(a.n + p + 3 - greatest(p, a.upto) AS n, p + 3 AS upto), a -> a.n)"
@@ -73,13 +72,12 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def features(text: str, buckets: int = BUCKETS):
-    """The hashed features of a text column: each token, and each token with the one before it."""
+def features(text: str):
+    """Hashes of a text column's features: each token, and each token with the one before it. Their low bits are the bucket."""
     tokens = f"regexp_extract_all({text}, '{TOKEN}', 0)".replace("\\", "\\\\")
     return F.expr(
-        f"flatten(transform(array({tokens}), k -> concat("
-        f"transform(k, x -> cast(pmod(xxhash64(x), {buckets}) AS int)),"
-        f" zip_with(slice(k, 1, greatest(size(k) - 1, 0)), slice(k, 2, greatest(size(k) - 1, 0)), (x, y) -> cast(pmod(xxhash64(x, y), {buckets}) AS int)))))"
+        f"flatten(transform(array({tokens}), k -> concat(transform(k, x -> xxhash64(x)),"
+        f" zip_with(slice(k, 1, greatest(size(k) - 1, 0)), slice(k, 2, greatest(size(k) - 1, 0)), (x, y) -> xxhash64(x, y)))))"
     )
 
 
@@ -88,10 +86,13 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
 
     ``trusted`` has the column doc_id, ``TRUSTED_ROWS`` rows at most.
     """
+    if buckets & (buckets - 1):
+        raise ValueError("buckets is a power of two")
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).distinct()
     d = docs.select(F.col(id_col).alias("id"), common.whole_text(F.col(text_col)).alias("t"))
     d = d.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")
-    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("in_target"), F.explode(features("t", buckets)).alias("bucket"))
+    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("in_target"), F.explode(features("t")).alias("h"))
+    d = d.withColumn("bucket", F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int"))
     counts = d.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
@@ -111,8 +112,8 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
 def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """``row``, the base statistics, ``base_failed``, ``score`` and ``kept`` of every document."""
     table = ratio.agg(F.expr("transform(array_sort(collect_list(struct(bucket, ratio))), x -> x.ratio)").alias("r")).scalar()
-    d = base_stats(docs, text_col).withColumn("table", table).withColumn("f", features("t", buckets))
-    total = F.expr("aggregate(f, 0D, (s, b) -> s + table[b])")
+    d = base_stats(docs, text_col).withColumn("table", table).withColumn("f", features("t"))
+    total = F.expr(f"aggregate(f, 0D, (s, h) -> s + table[cast(h & {buckets - 1} AS int)])")
     d = d.withColumn("score", F.when(F.size("f") == 0, F.lit(0.0)).otherwise(total / F.size("f")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return common.sealed(d, ["row"], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
