@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,10 +34,7 @@ def normalize_name(v: Column) -> Column:
 
 def has_any(v: Column, words: list[str]) -> Column:
     """Whether any word stands anywhere in the text; words inside words count."""
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(v, F.lit(w))
-    return out
+    return v.rlike("|".join(map(re.escape, words)))
 
 
 def blank_to_null(v: Column) -> Column:
