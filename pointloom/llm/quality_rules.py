@@ -6,11 +6,12 @@ log p(feature | target) - log p(feature | raw); documents that pass the base
 rules and score at or above a fixed threshold are kept, every one by the same
 deterministic rule. Everything is DataFrame expressions: counting is one pass
 with map-side sums over ``BUCKETS`` keys, scoring is a map over the rows with
-the ratios as one constant array, and no text is ever shuffled.
+the ratios as one constant array.
 
-The trusted target is a set of labelled documents, ``TRUSTED_ROWS`` of them at
-most (those whose hashed ids come first), so the id list that is broadcast has
-a fixed bound. The raw counts cover every document.
+The trusted target is every document with a good label. The distinct ids are
+joined to the documents by a shuffled hash join at every size: the id list
+grows with the input, so it is not broadcast, and each text is shuffled once
+for the counts. The raw counts cover every document.
 
 Defined cases: a null or blank text has no words, fails the base rules and
 scores 0; without trusted documents all ratios are 0; repeated rows are judged
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from pointloom.llm import common
 
 BUCKETS = 16_384
-TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 #: A document whose mean log ratio is below is rejected.
 THRESHOLD = -0.3
@@ -84,13 +84,15 @@ def features(text: str):
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
     """bucket, ratio: one row for each of ``buckets`` features, whatever the corpus holds.
 
-    ``trusted`` has the column doc_id, ``TRUSTED_ROWS`` rows at most.
+    ``trusted`` has the column doc_id and any number of rows.
     """
     if buckets & (buckets - 1):
         raise ValueError("buckets is a power of two")
-    ids = trusted.select(F.col("doc_id").alias("trusted_id")).distinct()
+    ids = trusted.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("trusted_id"), F.lit(False).alias("trusted_none")).distinct()
     d = docs.select(F.col(id_col).alias("id"), common.whole_text(F.col(text_col)).alias("t"))
-    d = d.join(F.broadcast(ids), F.col("id") == F.col("trusted_id"), "left")
+    # rows without an id match nothing and are dealt by their text, not all to one task
+    d = d.select("t", F.coalesce(F.col("id").cast("long"), F.xxhash64("t")).alias("id"), F.col("id").isNull().alias("none"))
+    d = d.join(ids.hint("shuffle_hash"), (F.col("id") == F.col("trusted_id")) & (F.col("none") == F.col("trusted_none")), "left")
     d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("in_target"), F.explode(features("t")).alias("h"))
     d = d.withColumn("bucket", F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int"))
     counts = d.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
@@ -103,10 +105,9 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     )
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """doc_id of labelled good documents, ``rows`` of them at most, chosen by hash."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every labelled good document."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
 def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:

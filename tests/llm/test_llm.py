@@ -392,6 +392,22 @@ def test_quality_rules(spark, docs, clashing, empty):
     assert {r["ratio"] for r in rows(none)} == {0.0}
 
 
+def test_target_counts_cover_every_trusted_document(spark):
+    d = spark.range(25_000).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id) AS text")
+    labels = d.select("doc_id", F.lit(1).alias("quality"))
+    assert quality_rules.trusted_ids(labels.unionByName(labels)).count() == 25_000
+    # with all documents trusted, target and raw are the same multinomial
+    assert {r["ratio"] for r in rows(quality_rules.ratios(d, quality_rules.trusted_ids(labels), buckets=64))} == {0.0}
+    # repeated rows count each, rows without an id only in the raw counts
+    odd = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "a"), (None, None)], "doc_id long, text string")
+    good = quality_rules.trusted_ids(spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int"))
+    got = {r["bucket"]: r["ratio"] for r in rows(quality_rules.ratios(odd, good, buckets=2**16))}
+    at = {x: xxhash.xxh64_intdigest(x.encode(), 42) % 2**16 for x in "ab"}
+    size = 2**16
+    assert got[at["a"]] == pytest.approx(math.log(3 / (2 + size)) - math.log(4 / (4 + size)))
+    assert got[at["b"]] == pytest.approx(math.log(1 / (2 + size)) - math.log(2 / (4 + size)))
+
+
 # ---- 9: SimHash
 
 def _brute_fingerprint(text):
