@@ -52,6 +52,13 @@ RULES = (
     Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 29),
     Rule("pem", "-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", 27),
 )
+#: After a PEM header: all up to the END line or, where that is missing, the lines of base64 and of encryption headers.
+_PEM_BODY = (
+    "(?:[^-]*+(?:-{1,4}[^-]++){0,64}+-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?:(?:[\x20\t\r\n]|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\n]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++(?=[\x20\t\r]*(?:\n|$|\\[nr])))){0,1000}+)"
+)
+#: Rules for redaction. Those above state ``op10_secrets`` and its SQL, where ``pem`` is the header alone.
+REDACTION = tuple(Rule(r.kind, r.pattern + _PEM_BODY, r.least) if r.kind == "pem" else r for r in RULES)
 
 
 def postings(text: Column, wanted: list[str]) -> Column:
