@@ -457,8 +457,8 @@ _SPOTS = "t AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS view, CAST(l_p
 _DISC = "o AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE dx*dx+dy*dy <= 4)"
 
 
-def _spots(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").filter("l_quantity > 45").select((F.col("l_suppkey") % 20).alias("view"), (F.col("l_partkey") % 64).cast("int").alias("px"), (F.col("l_orderkey") % 64).cast("int").alias("py")).distinct()
+def _spots(spark: SparkSession, d: str, rows: str = "l_quantity > 45") -> DataFrame:
+    return read(spark, d, "lineitem").filter(rows).select((F.col("l_suppkey") % 20).alias("view"), (F.col("l_partkey") % 64).cast("int").alias("px"), (F.col("l_orderkey") % 64).cast("int").alias("py")).distinct()
 
 
 @query(f"WITH {_SPOTS}, {_DISC} SELECT DISTINCT view, CAST(px + dx AS INTEGER) AS px, CAST(py + dy AS INTEGER) AS py FROM t, o WHERE px + dx BETWEEN 0 AND 63 AND py + dy BETWEEN 0 AND 63")
@@ -476,15 +476,23 @@ _REGIONS = "r AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS region,
 
 @query(f"WITH {_SPOTS}, {_REGIONS}, h AS (SELECT view, px, py, role, count(DISTINCT (region, x1, y1)) AS votes FROM t JOIN r USING (view) WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 GROUP BY ALL) SELECT view, role, count(*) AS hit_pixels, CAST(sum(votes) AS BIGINT) AS votes FROM h GROUP BY ALL")
 def box_range_votes(spark: SparkSession, d: str) -> DataFrame:
-    r = read(spark, d, "lineitem").filter("l_quantity = 1").selectExpr("l_suppkey % 20 AS view", "l_orderkey AS region", "CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role", "l_partkey % 40 AS x1", "l_orderkey % 40 AS y1", "l_partkey % 40 + 12 AS x2", "l_orderkey % 40 + 9 AS y2").distinct()
-    h = joins.in_boxes(_spots(spark, d), r, ["view"]).groupBy("view", "px", "py", "role").agg(F.countDistinct("region", "x1", "y1").alias("votes"))
+    return _box_range_votes(spark, d, "l_quantity > 45", "l_quantity = 1")
+
+
+def _box_range_votes(spark: SparkSession, d: str, spots: str, rows: str) -> DataFrame:
+    r = read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS region", "CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role", "l_partkey % 40 AS x1", "l_orderkey % 40 AS y1", "l_partkey % 40 + 12 AS x2", "l_orderkey % 40 + 9 AS y2").distinct()
+    h = joins.in_boxes(_spots(spark, d, spots), r, ["view"]).groupBy("view", "px", "py", "role").agg(F.countDistinct("region", "x1", "y1").alias("votes"))
     return h.groupBy("view", "role").agg(F.count("*").alias("hit_pixels"), F.sum("votes").alias("votes"))
 
 
 @query(f"WITH {_SPOTS}, q AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS id, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_quantity = 2), m AS (SELECT view, id, x, y, px, py, (px-x)*(px-x)+(py-y)*(py-y) AS d2 FROM q JOIN t USING (view) WHERE (px-x)*(px-x)+(py-y)*(py-y) <= 36) SELECT view, id, px, py, d2 FROM m QUALIFY row_number() OVER (PARTITION BY view, id ORDER BY d2, py, px) = 1")
 def nearest_snap(spark: SparkSession, d: str) -> DataFrame:
-    q = read(spark, d, "lineitem").filter("l_quantity = 2").selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 64 AS x", "l_suppkey % 64 AS y").distinct()
-    return joins.snap(q, _spots(spark, d), ["view"], "id", 6)
+    return _nearest_snap(spark, d, "l_quantity > 45", "l_quantity = 2")
+
+
+def _nearest_snap(spark: SparkSession, d: str, spots: str, rows: str) -> DataFrame:
+    q = read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 64 AS x", "l_suppkey % 64 AS y").distinct()
+    return joins.snap(q, _spots(spark, d, spots), ["view"], "id", 6)
 
 
 @query(f"WITH {_SPOTS}, n AS (SELECT view, py, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT view, max(n) AS most FROM n GROUP BY view) SELECT view, min(py) AS body_top FROM n JOIN f USING (view) WHERE n >= greatest(2, round_even(CAST(most AS DOUBLE) * CAST(0.18 AS DOUBLE), 0)) GROUP BY view")
@@ -509,7 +517,10 @@ def grouped_counts(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT l_orderkey, l_linenumber, CAST(least(greatest(round_even(a, 0), 0), 63) AS INTEGER) AS a, CAST(least(greatest(round_even(b, 0), 0), 47) AS INTEGER) AS b, CAST(least(greatest(round_even(c, 0), 0), 63) AS INTEGER) AS c, CAST(least(greatest(round_even(d, 0), 0), 47) AS INTEGER) AS d FROM b)
 SELECT l_orderkey, l_linenumber, least(a, c) AS x1, least(b, d) AS y1, greatest(a, c) AS x2, greatest(b, d) AS y2 FROM n WHERE l_linenumber = 1 AND a <> c AND b <> d""")
 def box_normalize(spark: SparkSession, d: str) -> DataFrame:
-    li = read(spark, d, "lineitem").filter("l_linenumber = 1")
+    return _box_normalize(read(spark, d, "lineitem").filter("l_linenumber = 1"))
+
+
+def _box_normalize(li: DataFrame) -> DataFrame:
     box = F.array((F.col("l_partkey") % 100).cast("double") + 0.5, (F.col("l_suppkey") % 80).cast("double"), (F.col("l_orderkey") % 90).cast("double"), F.col("l_quantity") + 30.5)
     n = li.select("l_orderkey", "l_linenumber", boxes.normalize_box(box, F.lit(64), F.lit(48)).alias("b")).filter("b IS NOT NULL")
     return n.select("l_orderkey", "l_linenumber", *[F.col("b")[i].alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
@@ -517,7 +528,11 @@ def box_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH i AS (SELECT vec_id AS i FROM embeddings WHERE vec_id < 700) SELECT i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(65 + i // 26 - 1 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END AS label, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE 'C' || (i + 1) END AS numbered FROM i""")
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
-    i = read(spark, d, "embeddings").filter("vec_id < 700").select(F.col("vec_id").alias("i"))
+    return _candidate_labels(read(spark, d, "embeddings").filter("vec_id < 700"))
+
+
+def _candidate_labels(e: DataFrame) -> DataFrame:
+    i = e.select(F.col("vec_id").alias("i"))
     return i.select("i", text.candidate_label(F.col("i")).alias("label"), text.candidate_label_numbered(F.col("i")).alias("numbered"))
 
 
@@ -590,15 +605,19 @@ def gated_union(spark: SparkSession, d: str) -> DataFrame:
 _BOXES = "b AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS id, l_partkey % 50 AS x1, l_suppkey % 50 AS y1, l_partkey % 50 + 8 AS x2, l_suppkey % 50 + 8 AS y2 FROM lineitem WHERE l_quantity = 3)"
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "lineitem").filter("l_quantity = 3").selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 50 AS x1", "l_suppkey % 50 AS y1", "l_partkey % 50 + 8 AS x2", "l_suppkey % 50 + 8 AS y2").distinct()
+def _boxes(spark: SparkSession, d: str, rows: str = "l_quantity = 3") -> DataFrame:
+    return read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 50 AS x1", "l_suppkey % 50 AS y1", "l_partkey % 50 + 8 AS x2", "l_suppkey % 50 + 8 AS y2").distinct()
 
 
 @query(f"""WITH {_SPOTS}, {_BOXES}, g AS (SELECT view, id, x1, y1, x2, y2, min(px) FILTER (i) AS a1, min(py) FILTER (i) AS b1, max(px) FILTER (i) AS a2, max(py) FILTER (i) AS b2, min(px) FILTER (n) AS c1, min(py) FILTER (n) AS d1, max(px) FILTER (n) AS c2, max(py) FILTER (n) AS d2
 FROM (SELECT b.*, px, py, px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AS i, abs(px - (x1 + x2) / 2.0) <= 12 AND abs(py - (y1 + y2) / 2.0) <= 12 AS n FROM b LEFT JOIN t USING (view)) GROUP BY view, id, x1, y1, x2, y2)
 SELECT view, id, CAST(coalesce(a1, c1, x1) AS BIGINT) AS x1, CAST(coalesce(b1, d1, y1) AS BIGINT) AS y1, CAST(coalesce(a2, c2, x2) AS BIGINT) AS x2, CAST(coalesce(b2, d2, y2) AS BIGINT) AS y2 FROM g""")
 def box_tighten(spark: SparkSession, d: str) -> DataFrame:
-    t = joins.tighten(_boxes(spark, d), _spots(spark, d), ["view"], "id", 12)
+    return _box_tighten(_boxes(spark, d), _spots(spark, d))
+
+
+def _box_tighten(b: DataFrame, spots: DataFrame) -> DataFrame:
+    t = joins.tighten(b, spots, ["view"], "id", 12)
     return t.select("view", "id", *[F.col(k).cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
@@ -649,3 +668,50 @@ def category_priors(spark: SparkSession, d: str) -> DataFrame:
 def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_type", F.col("ts"))
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
+
+
+# ---- the queries above whose SQL states row subsets, over all rows of their tables
+
+@query()
+def box_range_votes_all(spark: SparkSession, d: str) -> DataFrame:
+    return _box_range_votes(spark, d, "true", "true")
+
+
+@query()
+def nearest_snap_all(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest_snap(spark, d, "true", "true")
+
+
+@query()
+def box_tighten_all(spark: SparkSession, d: str) -> DataFrame:
+    return _box_tighten(_boxes(spark, d, "true"), _spots(spark, d, "true"))
+
+
+@query()
+def box_normalize_all(spark: SparkSession, d: str) -> DataFrame:
+    return _box_normalize(read(spark, d, "lineitem"))
+
+
+@query()
+def candidate_labels_all(spark: SparkSession, d: str) -> DataFrame:
+    return _candidate_labels(read(spark, d, "embeddings"))
+
+
+@query()
+def disc_dilate_all(spark: SparkSession, d: str) -> DataFrame:
+    return raster.dilate(_spots(spark, d, "true"), ["view"], 2, 64)
+
+
+@query()
+def view_components_all(spark: SparkSession, d: str) -> DataFrame:
+    return raster.component_boxes(raster.components_2d(_spots(spark, d, "true"), ["view"]), ["view"])
+
+
+@query()
+def body_top_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    return raster.body_top(_spots(spark, d, "true"), ["view"], 0.18, 2)
+
+
+@query()
+def union_boxes_all(spark: SparkSession, d: str) -> DataFrame:
+    return raster.union_box(_spots(spark, d, "true"), ["view"], 3, 64)

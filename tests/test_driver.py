@@ -43,3 +43,58 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).agg(F.count("*")).first()[0] > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_tables(spark, tmp_path):
+    """Queries over all rows against brute force, on a table whose rows the subsets leave out for the most part."""
+    li = pd.read_parquet(DATA / "lineitem.parquet").head(400)
+    li.to_parquet(tmp_path / "lineitem.parquet", index=False)
+    pd.DataFrame({"vec_id": [0, 25, 26, 701, 702, 1999]}).to_parquet(tmp_path / "embeddings.parquet", index=False)
+    got = {n: [tuple(r) for r in driver.QUERIES[n + "_all"](spark, str(tmp_path)).collect()] for n in ("box_range_votes", "nearest_snap", "box_tighten", "box_normalize", "candidate_labels", "disc_dilate", "union_boxes", "body_top_rows", "view_components")}
+    k = [tuple(int(v) for v in t[:4]) + (float(t[4]), t[5]) for t in li[["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]].itertuples(index=False, name=None)]
+    spots = {}
+    for o, p, s, *_ in k:
+        spots.setdefault(s % 20, set()).add((p % 64, o % 64))
+
+    votes = {}
+    for v, o, role, x, y in {(s % 20, o, "reject" if f == "A" else "target", p % 40, o % 40) for o, p, s, _, _, f in k}:
+        for px, py in spots[v]:
+            if x <= px <= x + 12 and y <= py <= y + 9:
+                votes.setdefault((v, role), {}).setdefault((px, py), set()).add((o, x, y))
+    assert sorted(got["box_range_votes"]) == sorted((v, r, len(h), sum(map(len, h.values()))) for (v, r), h in votes.items())
+
+    best = {}
+    for o, p, s, *_ in k:
+        for px, py in spots[s % 20]:
+            d2 = (px - p % 64) ** 2 + (py - s % 64) ** 2
+            if d2 <= 36:
+                best[s % 20, o] = min(best.get((s % 20, o), (99,)), (d2, py, px))
+    assert sorted(got["nearest_snap"]) == sorted((v, o, px, py, d2) for (v, o), (d2, py, px) in best.items())
+
+    tight = []
+    for v, o, x, y in {(s % 20, o, p % 50, s % 50) for o, p, s, *_ in k}:
+        inside = [(a, b) for a, b in spots[v] if x <= a <= x + 8 and y <= b <= y + 8]
+        near = [(a, b) for a, b in spots[v] if abs(a - x - 4) <= 12 and abs(b - y - 4) <= 12]
+        use = inside or near or [(x, y), (x + 8, y + 8)]
+        tight.append((v, o, min(a for a, _ in use), min(b for _, b in use), max(a for a, _ in use), max(b for _, b in use)))
+    assert sorted(got["box_tighten"]) == sorted(tight)
+
+    boxes = []
+    for o, p, s, n, q, _ in k:
+        a, b, c, e = (min(max(round(z), 0), top) for z, top in ((p % 100 + 0.5, 63), (s % 80, 47), (o % 90, 63), (q + 30.5, 47)))
+        if a != c and b != e:
+            boxes.append((o, n, min(a, c), min(b, e), max(a, c), max(b, e)))
+    assert sorted(got["box_normalize"]) == sorted(boxes) and len({n for _, n, *_ in boxes}) > 1
+    assert sorted(r[0] for r in got["candidate_labels"]) == [0, 25, 26, 701, 702, 1999]
+    assert [r[1:] for r in sorted(got["candidate_labels"])][:4] == [("A", "A"), ("Z", "Z"), ("AA", "C27"), ("ZZ", "C702")]
+
+    disc = [(a, b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+    assert sorted(got["disc_dilate"]) == sorted({(v, x + a, y + b) for v, t in spots.items() for x, y in t for a, b in disc if 0 <= x + a <= 63 and 0 <= y + b <= 63})
+    assert sorted(got["union_boxes"]) == sorted((v, max(min(x for x, _ in t) - 3, 0), max(min(y for _, y in t) - 3, 0), min(max(x for x, _ in t) + 3, 63), min(max(y for _, y in t) + 3, 63)) for v, t in spots.items())
+    tops = []
+    for v, t in spots.items():
+        n = {y: sum(b == y for _, b in t) for _, y in t}
+        rows_of = [y for y in n if n[y] >= max(2, round(max(n.values()) * 0.18))]
+        tops += [(v, min(rows_of))] if rows_of else []
+    assert sorted(got["body_top_rows"]) == sorted(tops)
+    assert {r[0] for r in got["view_components"]} == set(spots)
