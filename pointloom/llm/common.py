@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than ASCII white space.
@@ -24,10 +25,15 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    A folder of its own is made only where the session names none, as in tests.
+    A folder of its own is made only where the session names none and runs in
+    one process, as in tests; on a cluster a machine's own folder would lose
+    what other machines write, so a missing name is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share: the master is {master}")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="pointloom-")
@@ -47,6 +53,39 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` in ``order`` with running totals of what stands before each row, without a task that holds all rows.
+
+    ``sums`` maps new columns to the expressions that they total. Rows are
+    dealt by ranges; each range is summed up by itself, and the ranges' totals
+    (one row each) are summed up and broadcast.
+    """
+    dealt = staged(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), name)
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = dealt.withColumns({k: F.coalesce(F.sum(F.expr(v)).over(own), F.expr(f"0 * ({v})")) for k, v in sums.items()})
+    totals = dealt.groupBy("__part").agg(*[F.sum(F.expr(v)).alias(f"__{k}") for k, v in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    before = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(earlier), F.lit(0)).alias(f"__{k}") for k in sums])
+    d = d.join(F.broadcast(before), "__part")
+    return d.select(*df.columns, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in sums])
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table``, which has one row a key, with keys that are not null.
+
+    A key that holds more than one in ``hot`` of all rows is hot; there are
+    fewer than ``hot`` such keys, so their rows of ``table`` are broadcast
+    and no task meets a hot key. ``rows`` is read three times.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    total = rows.agg(F.count("*")).first()[0]
+    named = staged(n.filter(F.col("__n") * hot > total).select(key), "hot-keys")
+    if named.isEmpty():
+        return rows.join(table, key)
+    few = table.join(F.broadcast(named), key, "left_semi")
+    return rows.join(F.broadcast(few), key).unionByName(rows.join(F.broadcast(named), key, "left_anti").join(table, key))
+
+
 def sealed(df: DataFrame, keep: list[str], worked_out: list[str]) -> DataFrame:
     """``keep`` and ``worked_out`` columns of ``df``; filters on the latter are not pushed below them.
 

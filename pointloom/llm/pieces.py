@@ -7,14 +7,15 @@ scores, byte fallback, and the decoder.
 
 No piece of such a model runs over a space marker, nor over a line feed
 (``build`` refuses models where one does), so the ids of a text are those of
-its chunks in order. A worker remembers chunks up to a bound; chunks that are
-missing are encoded in batches by the library's threads, and each is held
-against the SentencePiece library, so parity is verified on everything that is
-encoded.
+its chunks in order. A worker remembers chunks up to a number of bytes; chunks
+that are missing are encoded in batches by the library's threads, and each is
+held against the SentencePiece library, so parity is verified on everything
+that is encoded.
 
 Defined cases for ``encode_documents``: a null text counts as empty and has no
-ids; repeated rows are encoded each; other columns are carried along, whatever
-their names; an empty table gives no rows.
+ids; a very long text is encoded whole, its very long chunks (texts without
+blanks) without being remembered; repeated rows are encoded each; other columns
+are carried along, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalize
 from pointloom.llm import common
 
 MARKER = "▁"
-#: Chunks of each of two generations that a worker remembers.
-REMEMBER = 300_000
+#: Bytes that each of two generations of remembered chunks takes.
+REMEMBER = 96 << 20
+#: Longer chunks are encoded each time.
+LONGEST = 256
 #: Bytes of text that are cut into chunks at once.
 AT_ONCE = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -157,7 +160,7 @@ class Encoder:
         self.bare = Tokenizer(self.full.model)
         self.plain = not self.model.charsmap and not self.model.remove_extra_spaces and USER_DEFINED not in self.model.kinds
         self.check = sentencepiece.SentencePieceProcessor(model_proto=data) if verify else None
-        self.memo, self.old, self.bad = {}, {}, set()
+        self.memo, self.old, self.bad, self.held = {}, {}, set(), 0
         self.prefix = b" " if self.model.dummy_prefix else b""
         self.lone = array("I", self.bare.encode(MARKER).ids).tobytes()
         self.lone_line = self.lone + array("I", self.bare.encode("\n").ids).tobytes()
@@ -176,17 +179,24 @@ class Encoder:
             return self.full.normalizer.normalize_str(text.decode()).replace(MARKER, " ").encode()
         return self.prefix + (text.replace(MARKER.encode(), b" ") if MARKER.encode() in text else text)
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = []
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Remember the ids of ``chunks``; those of very long ones are only returned."""
+        new, passing = [], {}
         for c in chunks:
             found = self.old.get(c)
             if found is None:
                 new.append(c)
             else:
                 self.memo[c] = found
+                self.held += len(c) + len(found) + 200
         done = self.bare.encode_batch_fast([c.decode().replace(" ", MARKER) for c in new], add_special_tokens=False)
-        for c, e in zip(new, done, strict=True):
-            self.memo[c] = array("I", e.ids).tobytes()
+        ids_of = {c: array("I", e.ids).tobytes() for c, e in zip(new, done, strict=True)}
+        for c, ids in ids_of.items():
+            if len(c) > LONGEST:
+                passing[c] = ids
+            else:
+                self.memo[c] = ids
+                self.held += len(c) + len(ids) + 200
         if self.check is not None:
             # the other library puts a marker before each text: in place of a chunk's own, or before a line feed
             shown = [c[1:] if self.prefix and c[:1] == b" " else c if not self.prefix or c[:1] == b"\n" else b"\n" + c for c in new]
@@ -194,18 +204,22 @@ class Encoder:
             for c, text, ids in zip(new, shown, theirs, strict=True):
                 before = b"" if not self.prefix or c[:1] == b" " else self.lone if c[:1] == b"\n" else self.lone_line
                 # a lone space is nothing but that marker there
-                if array("I", ids).tobytes() != before + self.memo[c] and text:
+                if array("I", ids).tobytes() != before + ids_of[c] and text:
                     self.bad.add(c)
+        return passing
 
     def encode_batch(self, texts: list[bytes]) -> list[tuple[bytes, bool]]:
         """For each text its ids, little-endian 32-bit, and whether the two libraries agree."""
         cut = [self._CHUNK.findall(self.normal(t)) for t in texts]
-        if len(self.memo) >= REMEMBER:
-            self.memo, self.old = {}, self.memo
+        if self.held >= REMEMBER:
+            self.memo, self.old, self.held = {}, self.memo, 0
+            self.bad.intersection_update(self.old)
         missing = set().union(*cut).difference(self.memo)
-        if missing:
-            self._learn(missing)
-        return [(b"".join(map(self.memo.__getitem__, c)), not self.bad or self.bad.isdisjoint(c)) for c in cut]
+        passing = self._learn(missing) if missing else {}
+        find = self.memo.__getitem__ if not passing else lambda c: passing[c] if c in passing else self.memo[c]
+        out = [(b"".join(map(find, c)), not self.bad or self.bad.isdisjoint(c)) for c in cut]
+        self.bad.difference_update(passing)
+        return out
 
     def decode(self, ids) -> bytes:
         out = b"".join(map(self.written.__getitem__, ids))

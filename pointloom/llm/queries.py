@@ -29,14 +29,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(common.table(spark, sf_dir, "conversations"))
+    """The table holds no calls, so they are derived from its numbers; whatever calls a text holds itself are linked too."""
+    return chat.format_chats(chat.with_calls(common.table(spark, sf_dir, "conversations")))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = common.staged(mixing.units(common.table(spark, sf_dir, "documents")), "mix-units")
-    mixed = mixing.mix(unit).withColumn("taken", F.col("copies") * F.col("size"))
-    rows = mixed.select(F.explode(F.sequence(F.lit(1).cast("long"), "n")), "doc_id", "size", "source_size", "target", "taken", "copies")
-    return rows.drop("col")
+    return mixing.mix(unit).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +73,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(common.table(spark, sf_dir, "documents"))
+    found = secrets.scan(common.table(spark, sf_dir, "documents"), keep=["doc_id"])
     counts = [secrets.count_of("spans", k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("row.doc_id", *counts, F.sha2(secrets.listed("spans", base=True), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
 
@@ -91,4 +90,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {"op10_secrets": secrets.oracle()}
+ORACLES: dict[str, str] = {"op2_tool_calls": chat.oracle(), "op10_secrets": secrets.oracle()}

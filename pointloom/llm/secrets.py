@@ -1,21 +1,25 @@
-"""Secret scan: a trigram index picks candidates, regexes verify them.
+"""Secret scan: a trigram inverted index picks candidates, regexes verify them.
 
 Each rule's regex gives a Boolean query over trigrams that all its matches
-hold. The index is split by document, as the rows already are: a row has a bit
-for each trigram that any rule asks for, set if the row is in that trigram's
-posting list. Postings of a rule are intersected and united as masks over those
-bits; only rows that are left are searched with the regex. A rule without
-mandatory trigrams searches every row. Nothing is shuffled.
+hold. ``index`` goes over each text once and writes posting lists: for a block
+of ``BLOCK`` rows and a trigram that any rule asks for, the places in the block
+whose text holds it. ``candidates`` puts a block's lists side by side and
+intersects and unites them as the queries say; only the rows that are left meet
+their texts again and are searched with the rule's regex. A rule without
+mandatory trigrams searches every row where it stands. Nothing but the posting
+lists, the candidates and their spans is shuffled, and the candidates' texts
+where the candidates are too many to be sent to all.
 
 Positions count code points, the end is exclusive. Matches of a rule are
 leftmost and do not overlap; those whose value is too short are dropped after
-matching. Defined cases: a null text is empty and has no spans; repeated rows
-are scanned each; other columns are carried along, whatever their names; an
-empty table gives no rows.
+matching. Defined cases: a null text is empty and has no spans; a very long
+text is searched whole; repeated rows are scanned each; other columns are
+carried along, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -61,36 +65,48 @@ _PEM_BODY = (
 REDACTION = tuple(Rule(r.kind, r.pattern + _PEM_BODY, r.least) if r.kind == "pem" else r for r in RULES)
 
 
-def postings(text: Column, wanted: list[str]) -> Column:
-    """One long for each 60 trigrams: bit k is set if the row is in the k-th trigram's list."""
-    words = []
-    for at in range(0, max(1, len(wanted)), 60):
-        bits = F.lit(0).cast("long")
-        for k, t in enumerate(wanted[at : at + 60]):
-            bits = bits.bitwiseOR(F.when(F.contains(text, F.lit(t)), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-        words.append(bits)
-    return F.array(*words)
+#: Rows of a block: its posting lists are bounded by that, whatever the table holds. A power of two.
+BLOCK = 4096
 
 
-def _candidate(q, wanted: list[str], bits: Column) -> Column:
-    """Whether a row is left when the query's posting lists are intersected and united."""
-    if q is True:
-        return F.lit(True)
+def _any_of(wanted: list[str]) -> str:
+    """A pattern that finds the wanted trigrams at every place, overlapping ones too, in one pass."""
+    by_first: dict[str, list[str]] = {}
+    for t in wanted:
+        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
+    starts = "".join(re.escape(k) for k in by_first)
+    return f"(?=[{starts}])(?=(" + "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in by_first.items()) + "))"
+
+
+def index(texts: DataFrame, wanted: list[str]) -> DataFrame:
+    """block, trigram, places: the posting lists of ``texts`` (n: long, t) for the ``wanted`` trigrams, in ascending order."""
+    held = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_any_of(wanted)), F.lit(1)))
+    d = texts.select("n", F.explode(held).alias("trigram"))
+    block, place = F.shiftright("n", BLOCK.bit_length() - 1), F.col("n").bitwiseAND(F.lit(BLOCK - 1)).cast("int")
+    return d.groupBy(block.alias("block"), "trigram").agg(F.sort_array(F.collect_list(place)).alias("places"))
+
+
+def _places(q, lists: str) -> str:
+    """SQL of the places that are left of a block: posting lists intersected and united."""
     if isinstance(q, str):
-        q = ("and", [q])
+        literal = q.replace("\\", "\\\\").replace("'", "\\'")
+        return f"coalesce({lists}['{literal}'], cast(array() AS array<int>))"
     kind, parts = q
-    plain = [wanted.index(p) for p in parts if isinstance(p, str)]
-    masks = {}
-    for k in plain:
-        masks[k // 60] = masks.get(k // 60, 0) | 1 << k % 60
-    tests = [(bits[w].bitwiseAND(F.lit(m).cast("long")) == m) if kind == "and" else (bits[w].bitwiseAND(F.lit(m).cast("long")) != 0) for w, m in masks.items()]
-    tests += [_candidate(p, wanted, bits) for p in parts if not isinstance(p, str)]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out & t if kind == "and" else out | t
+    out = _places(parts[0], lists)
+    for p in parts[1:]:
+        out = f"array_{'intersect' if kind == 'and' else 'union'}({out}, {_places(p, lists)})"
     return out
 
 
+def candidates(postings: DataFrame, queries: list) -> DataFrame:
+    """n, rules: the rows that a query leaves, and the numbers of those queries; queries without trigrams are left out."""
+    lists = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "places"))).alias("lists"))
+    asked = ", ".join(f"struct({i} AS rule, {_places(q, 'lists')} AS places)" for i, q in enumerate(queries) if q is not True)
+    d = lists.select("block", F.explode(F.expr(f"array({asked})")).alias("r")).select("block", "r.rule", F.explode("r.places").alias("place"))
+    n = F.shiftleft("block", BLOCK.bit_length() - 1).bitwiseOR(F.col("place").cast("long"))
+    return d.groupBy(n.alias("n")).agg(F.collect_set("rule").alias("rules"))
+
+
 _SPAN = "struct<start: bigint, rule: int, end: bigint>"
 
 
@@ -109,15 +125,34 @@ def _spans(column: str, rule: Rule, number: int) -> str:
     )
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """``row`` (the columns of ``docs``), ``t`` (its text) and ``spans``: (start, rule, end) in order of start, then rule."""
+def _all_spans(rules: tuple[Rule, ...], numbers: list[int]) -> Column:
+    return F.expr("concat(" + ", ".join(f"coalesce({_spans(f'm{i}', rules[i], i)}, cast(array() AS array<{_SPAN}>))" for i in numbers) + ")")
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``row`` (the columns of ``docs``, or ``keep`` of them), ``t`` (its text) and ``spans``: (start, rule, end) in order of start, then rule."""
     queries = [trigrams.query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams.trigrams, queries)))
-    d = docs.select(F.struct("*").alias("row"), common.whole_text(F.col(text_col)).alias("t"))
-    d = d.withColumn("bits", postings(F.lower("t"), wanted))
-    d = d.select("row", "t", *[F.when(_candidate(q, wanted, F.col("bits")) & F.col("t").rlike(r.pattern), _found(r, F.col("t"))).alias(f"m{i}") for i, (r, q) in enumerate(zip(rules, queries, strict=True))])
-    found = ", ".join(f"coalesce({_spans(f'm{i}', r, i)}, cast(array() AS array<{_SPAN}>))" for i, r in enumerate(rules))
-    return common.sealed(d.withColumn("spans", F.expr(f"array_sort(concat({found}))")), ["row", "t"], ["spans"])
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    # the numbers of rows are written down, so each later reading sees the same ones
+    d = common.staged(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row"), common.whole_text(F.col(text_col)).alias("t")), "secret-rows")
+    asked, full = [i for i, q in enumerate(queries) if q is not True], [i for i, q in enumerate(queries) if q is True]
+    none = F.array().cast(f"array<{_SPAN}>")
+    if asked:
+        left = candidates(common.staged(index(d.select("n", "t"), wanted), "secret-postings"), queries)
+        c = d.select("n", "t").join(left, "n")
+        c = c.select("n", *[F.when(F.array_contains("rules", i) & F.col("t").rlike(rules[i].pattern), _found(rules[i], F.col("t"))).alias(f"m{i}") for i in asked])
+        c = common.sealed(c.withColumn("verified", _all_spans(rules, asked)), ["n"], ["verified"]).filter(F.size("verified") > 0)
+        c = common.staged(c, "secret-verified")
+    if full:
+        d = d.select("n", "row", "t", *[F.when(F.col("t").rlike(rules[i].pattern), _found(rules[i], F.col("t"))).alias(f"m{i}") for i in full])
+        d = common.sealed(d.withColumn("scanned", _all_spans(rules, full)), ["n", "row", "t"], ["scanned"])
+    else:
+        d = d.withColumn("scanned", none)
+    if asked:
+        d = d.join(c, "n", "left")
+    spans = F.array_sort(F.concat("scanned", F.coalesce("verified", none))) if asked else F.array_sort("scanned")
+    return common.sealed(d.withColumn("spans", spans), ["row", "t"], ["spans"])
 
 
 def listed(spans: str, rules: tuple[Rule, ...] = RULES, base: bool = False) -> Column:

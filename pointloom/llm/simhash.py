@@ -11,14 +11,24 @@ at distance 2 (none of those if it is an anchor itself). At each anchor the
 whole fingerprints are compared, so nothing is linked wrongly.
 
 Equal fingerprints form a class and are compared once. An anchor with more than
-``CROWD`` fingerprints is dealt into blocks, and each pair of blocks is a group
-of its own, so no task gathers an unbounded group and every pair still meets.
-Of a group's links a spanning forest is passed on, not all pairs.
+``CROWD`` fingerprints is split by the other half: linked fingerprints differ
+there in 3 bits at most, so one of its four pieces agrees, and each piece's
+value is a group of its own. So anchors stay small however many documents
+there are. A group that is still crowded is dealt into blocks, and each pair of
+blocks is a group of its own, so no task gathers an unbounded group and every
+pair still meets. Of a group's links a spanning forest is passed on, not all
+pairs.
+
+``keep_representatives`` drops near copies: texts that share four fifths of
+their five-word shingles or more, by exact comparison of the sets. Candidates
+are the links of the fingerprints and, since texts of that likeness differ in 4
+to 12 bits as a rule, what meets in a band of ``resemblance``.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; repeated rows share class and component; a component's id is the least
-doc_id in it, ids that are null aside (null if there is no other); other
-columns are not read; an empty table gives no rows.
+doc_id in it, ids that are null aside (null if there is no other); very long
+texts are hashed whole; other columns are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm import common, components
+from pointloom.llm import common, components, resemblance
 
 SHINGLE = 3
 SEED = 42
@@ -144,58 +154,72 @@ def links(fps: DataFrame, most: int = THRESHOLD, crowd: int = CROWD) -> DataFram
     if not 0 <= most <= 3:
         raise ValueError("halves share 3 differing bits so that one of them has 1 at most")
     at = common.staged(anchors(fps), "anchors")
-    crowds = at.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.ceil(F.col("count") / (crowd // 2)).cast("int").alias("blocks"))
-    at = at.join(crowds, "anchor", "left")
-    # a block of a crowded anchor meets each block, itself included; other anchors are one group
+    crowds = at.groupBy("anchor").count().filter(F.col("count") > crowd).select("anchor", F.lit(True).alias("crowded"))
+    # pieces of the other half: a crowded anchor's fingerprints go on by (piece, its value)
+    other = "CASE WHEN anchor & 1 = 0 THEN shiftrightunsigned(fp, 32) ELSE fp END"
+    pieces = f"transform(sequence(0, 3), j -> xxhash64(anchor, j, shiftrightunsigned({other}, 8 * j) & CASE WHEN j = 3 THEN 127L ELSE 255L END))"
+    d = at.join(crowds, "anchor", "left").select("fp", F.explode(F.expr(f"CASE WHEN crowded THEN {pieces} ELSE array(anchor) END")).alias("a"))
+    still = d.groupBy("a").count().filter(F.col("count") > crowd).select("a", F.ceil(F.col("count") / (crowd // 2)).cast("int").alias("blocks"))
+    d = d.join(still, "a", "left")
+    # a block of a crowded group meets each block, itself included; others are one group
     own = "cast(pmod(xxhash64(fp), blocks) AS int)"
-    d = at.select("fp", "anchor", F.explode(F.expr(
+    d = d.select("fp", "a", F.explode(F.expr(
         f"CASE WHEN blocks IS NULL THEN array(0L) ELSE transform(sequence(0, blocks - 1), j -> cast(least({own}, j) AS bigint) * blocks + greatest({own}, j) + 1) END"
     )).alias("pair"))
-    d = d.select(F.expr("CASE WHEN pair = 0 THEN anchor ELSE xxhash64(anchor, pair) END").alias("g"), "fp")
+    d = d.select(F.expr("CASE WHEN pair = 0 THEN a ELSE xxhash64(a, pair) END").alias("g"), "fp")
     return d.repartition("g").sortWithinPartitions("g").mapInArrow(_links(most), "u long, v long")
 
 
 def near_duplicates(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
     """doc_id, fp, component_id of every row of ``fps`` (doc_id, fp; read a few times: hand over a stored table)."""
     classes = common.staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    nodes = common.staged(components.components(links(classes.select("fp"), most)), "nodes")
-    named = nodes.join(classes, nodes["node"] == classes["fp"]).select("node", "root", "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    joined = nodes.join(least, "root").select("node", "component")
-    of = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    return fps.join(common.staged(of, "class-components"), "fp").select("doc_id", "fp", "component_id")
+    nodes = common.staged(components.components(links(classes.select("fp"), most)).withColumnRenamed("node", "fp"), "nodes")
+    least = nodes.join(classes, "fp").groupBy("root").agg(F.min("least").alias("component"))
+    joined = common.looked_up(nodes, common.staged(least, "component-ids"), "root").select("fp", "component", F.lit(True).alias("linked"))
+    of = classes.join(joined, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component_id"))
+    return common.looked_up(fps, common.staged(of, "class-components"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _with_fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(0).cast(pa.binary())
-        fp = np.fromiter((fingerprint(t.as_py()) for t in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fp.view(np.int64))], names=[*batch.schema.names[1:], "__fp"])
+        texts = [t.as_py() for t in batch.column(0).cast(pa.binary())]
+        fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+        keys, bands = zip(*map(resemblance.sketch, texts), strict=True) if texts else ((), ())
+        new = [pa.array(fp.view(np.int64)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], "__fp", "__key", "__bands"])
+
+
+def near_copy_pairs(classes: DataFrame, texts: DataFrame, most: int = THRESHOLD) -> DataFrame:
+    """u, v: pairs of class ids whose texts resemble each other. ``classes`` (id, fp, bands) and ``texts`` (id, text) are stored."""
+    named = classes.groupBy("fp").agg(F.min("id").alias("lead"))
+    same = common.looked_up(classes.select("id", "fp"), common.staged(named, "fingerprint-leads"), "fp").filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
+    linked = links(classes.select("fp").distinct(), most)
+    of = lambda c, to: named.select(F.col("fp").alias(c), F.col("lead").alias(to))
+    linked = linked.join(of("u", "a"), "u").join(of("v", "b"), "v").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    pairs = same.unionByName(linked).unionByName(resemblance.band_pairs(classes)).distinct()
+    return resemblance.confirmed(pairs, texts)
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` of which each stands for its component.
+    """The rows of ``docs`` of which each stands for its group of copies and near copies.
 
-    It is the row with the least id, ids that are null last, then the least
-    fingerprint; of rows that agree in both, one stays.
+    Texts with equal words after A-Z are lowered are copies; those without
+    words, null included, are copies of each other. It is the row with the
+    least id that stays, ids that are null last; of rows with one id the first
+    as the rows come.
     """
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    d = docs.select(common.whole_text(F.col(text_col)).alias("__text"), "*").mapInArrow(_with_fingerprint, f"{kept}, __fp bigint")
-    d = common.staged(d, "fingerprinted")
-    fps = d.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
-    roots = component_roots(fps, most)
-    first = fps.join(roots, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "fp")).alias("r"))
-    first = first.select(F.col("r.doc_id").alias("__first"), F.col("r.fp").alias("__first_fp"))
-    one = d.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__first")) & (F.col("__fp") == F.col("__first_fp")), "left_semi")
-    return one.dropDuplicates([id_col, "__fp"]).drop("__fp")
-
-
-def component_roots(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
-    """fp, root: the component of each distinct fingerprint."""
-    classes = common.staged(fps.select("fp").distinct(), "classes")
-    nodes = components.components(links(classes, most))
-    named = classes.join(nodes, classes["fp"] == nodes["node"], "left")
-    return common.staged(named.select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+    d = docs.select(common.whole_text(F.col(text_col)).alias("__text"), F.monotonically_increasing_id().alias("__row"), "*")
+    d = common.staged(d.mapInArrow(_with_sketch, f"__row bigint, {kept}, __fp bigint, __key binary, __bands array<bigint>"), "sketched")
+    least = F.min(F.struct(F.col(id_col).isNull().alias("gone"), F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("id")))
+    classes = d.groupBy("__key").agg(least.alias("least"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands"))
+    classes = common.staged(classes.select(F.col("least.id").alias("id"), "least", "fp", "bands"), "copy-classes")
+    texts = d.select(F.col("__row").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    nodes = components.components(near_copy_pairs(classes, texts, most))
+    groups = classes.select("id", "least").join(nodes.select(F.col("node").alias("id"), "root"), "id", "left")
+    first = groups.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
+    stays = common.staged(first.select(F.col("least.id").alias("__row")), "stays")
+    return d.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -14,10 +14,12 @@ two halves of the labelled rows, so the model sees how the lexicon does on rows
 that it was not made from.
 
 What is learned from is bounded: ``TRAIN_ROWS`` labelled rows, by hash, and
-``TERMS`` terms. Every document is scored. Defined cases: null and empty texts
-have no hits and get the score of such texts; repeated rows are scored each;
-without labelled rows the score is a fixed function of the hits; other columns
-are not read.
+``TERMS`` terms beside the seeds: those that gain most, so a term beyond them
+adds less than each that is in. Every document is scored. Defined cases: null
+and empty texts have no hits and get the score of such texts; very long texts
+are scored whole, and very long words looked up without being remembered;
+repeated rows are scored each; without labelled rows the score is a fixed
+function of the hits; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -50,7 +52,12 @@ QUOTES = "\"“”«»„‟‹›"
 SPEECH = {"said", "says", "say", "called", "calls", "wrote", "writes", "quoted", "quote", "word", "term", "dit", "écrit", "mot", "sagte", "sagt", "schrieb", "wort", "dijo", "dice", "escribió", "palabra"}
 ADDRESS = {"you", "your", "youre", "yourself", "u", "tu", "toi", "vous", "du", "dich", "dir", "ihr", "eres", "tú", "vosotros", "ustedes"}
 N_FEATURES = 12
+#: States of the automaton after which it is built anew, and steps after which it is.
+MOST_STATES, MOST_STEPS = 20_000, 400_000
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: What the lexicon learns from: runs of letters and digits.
+_RUN = re.compile(r"[^\W_]{3,}")
+_MARKS = re.compile(r"[\W_]+")
 
 
 @dataclass
@@ -74,6 +81,11 @@ class Lexicon:
                 if at == len(self.nodes):
                     self.nodes.append([{}, None, 0])
             self.nodes[at][1], self.nodes[at][2] = term, max(self.nodes[at][2], most)
+        self._begin()
+
+    def _begin(self) -> None:
+        """The automaton with its first state alone; what words need is added as they come."""
+        self.steps = 0
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.table: list[dict[str, int]] = []
@@ -120,8 +132,8 @@ class Lexicon:
             if c + 1 <= most and cost.get(at, 9) > c + 1:
                 cost[at] = c + 1
         to = self._state(self._skip(cost)) if cost else -1
-        if len(self.states) < 50_000:
-            self.table[state][letter] = to
+        self.table[state][letter] = to
+        self.steps += 1
         return to
 
     def find(self, word: str):
@@ -130,6 +142,8 @@ class Lexicon:
         Fewer edits come first, then weight. A term that is a word's beginning
         is found in any word that begins like it.
         """
+        if len(self.states) > MOST_STATES or self.steps > MOST_STEPS:
+            self._begin()  # a word adds a few states at most, as none goes on beyond the terms
         state, best = self.first, None
         for letter in word:
             to = self.table[state].get(letter)
@@ -174,10 +188,6 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS, seeds: tuple[str, ...] =
     return Lexicon(found)
 
 
-def _plain(chunk: bytes) -> str:
-    return _EDGE.sub("", chunk.decode().lower())
-
-
 def _quoted(around: list[str], at: int, spoken: bool) -> bool:
     """Whether the chunk at ``at`` stands inside quotation marks, or beside some where someone speaks."""
     here = around[at]
@@ -192,16 +202,23 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         lexicon.compile()
         self.lexicon = lexicon
-        self.memo = Memo(self._hit, 200_000)
+        self.memo = Memo(self._hit)
 
     def _hit(self, chunk: bytes):
-        """() for no hit, else (term, edits, weight); disguised letters count as one edit."""
-        word = _plain(chunk)
-        if len(word) < 3:
-            return ()
-        found = self.lexicon.find(word) if word.isalnum() else None
+        """() for no hit, else (term, edits, weight).
+
+        Each run of letters and digits is looked up; if none is a term and the
+        chunk holds signs or digits, so is the whole with disguises undone and
+        marks left out, which counts as one edit at least.
+        """
+        word = chunk.decode().lower()
+        found = None
+        for run in _RUN.findall(word):
+            hit = self.lexicon.find(run)
+            if hit is not None and (found is None or hit > found):
+                found = hit
         if found is None and not word.isalpha():
-            bare = re.sub(r"[\W_]+", "", chunk.decode().lower().translate(DISGUISE))
+            bare = _MARKS.sub("", word.translate(DISGUISE))
             found = self.lexicon.find(bare) if len(bare) >= 4 else None
             if found is not None:
                 found = (min(found[0], -1), *found[1:])

@@ -2,7 +2,8 @@
 
 The model drops white space, so the ids of a text are the ids of its chunks
 between ASCII white space in order. Chunks repeat a lot; each worker remembers
-the ids of those it saw, up to a bound, and asks the library for the rest.
+the ids of those it saw, up to a number of bytes, and asks the library for the
+rest. Very long chunks (texts without blanks) are never remembered.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks, and pieces, of each of two generations that a worker remembers.
-REMEMBER = 300_000
+#: Bytes of keys, values and their objects that each of a memo's two generations holds.
+REMEMBER = 48 << 20
+#: Longer keys are worked out each time: they hardly come again.
+LONGEST = 256
+#: Bytes that a key and its value take beside their contents.
+OVERHEAD = 200
 _LATIN = re.compile(r"[\x00-įı-ſ]*")
 #: The model's own splitting rule, where letters and digits are those up to U+017F.
 _PIECE = re.compile(
@@ -35,23 +40,27 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Memo(dict):
-    """key -> value, made by ``make`` when missing; bounded, and what is in use stays.
+    """key -> value, made by ``make`` when missing; bounded in bytes, and what is in use stays.
 
     When a generation is full it becomes the old one; a key that is asked for
-    again moves to the new one, and the others go with the next change.
+    again moves to the new one, and the others go with the next change. Long
+    keys are not remembered.
     """
 
-    def __init__(self, make, size: int = REMEMBER):
+    def __init__(self, make, size: int = REMEMBER, longest: int = LONGEST):
         super().__init__()
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.longest, self.old, self.held = make, size, longest, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+        if self.held >= self.size:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += len(key) + len(value) + OVERHEAD
         self[key] = value
         return value
 

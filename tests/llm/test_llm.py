@@ -54,6 +54,31 @@ def test_encoder_equals_library(docs):
         assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_memory_is_bounded_in_bytes():
+    m = word_bpe.Memo(lambda k: k * 2, size=20_000)
+    for i in range(5000):
+        assert m[f"key{i}"] == f"key{i}" * 2 and m.held <= 20_000 + 400 and len(m) + len(m.old) <= 250
+    assert m["x" * 1000] == "x" * 2000 and "x" * 1000 not in m
+    e = pieces.Encoder(PIECES)
+    e.encode_batch([("汉字" * 400 + str(i)).encode() for i in range(50)])
+    assert all(len(k) <= pieces.LONGEST for k in e.memo)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "a"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+    Session.sparkContext.master = "local-cluster[3,2,1000]"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
 def _stored(spark, d, **how):
     path = f"{common.shared_dir(spark)}/t-{uuid.uuid4().hex}"
     token_store.write_tokens(d, path, BPE, **how)
@@ -103,10 +128,137 @@ def test_chat_links(spark):
     assert chat.format_chats(d.limit(0)).count() == 0
 
 
+def _brute_chat(data):
+    """Each conversation in one piece: its calls, results and levels in plain loops."""
+    parsed = [(*chat.parse(r[2], r[3], chat.TOOLS), r) for r in data]
+    key = lambda m: (m[3][1] is None, m[3][1] or 0)
+    out = collections.Counter()
+    for conv in {r[0] for r in data}:
+        mine = sorted((m for m in parsed if m[3][0] == conv), key=key)
+        first, answer = {}, {}
+        for n, m in enumerate(mine):
+            for k, c in enumerate(m[1]):
+                if c["id"] is not None:
+                    first.setdefault(c["id"], (n, k, c))
+            for k, x in enumerate(m[2]):
+                answer.setdefault(x["id"], (n, k, x["content"]))
+
+        def level(i, above=()):
+            if i in above:
+                return None
+            found = [level(r, (*above, i)) for r in first[i][2]["refs"] if r in first]
+            return None if None in found else 1 + max(found, default=-1)
+
+        for n, (content, calls, results, r) in enumerate(mine):
+            said, errors, linked = [], [], 0
+            for k, c in enumerate(calls):
+                own = c["id"] is not None and first[c["id"]][:2] == (n, k)
+                gone = sorted({x for x in first[c["id"]][2]["refs"] if x not in first}) if c["id"] is not None else []
+                depth = level(c["id"]) if own else None
+                wrong = [*c["errors"], *(["repeated identifier"] if c["id"] is not None and not own else []), *[f"refers to nothing: {x}" for x in gone], *(["circular references"] if own and depth is None else [])]
+                result = answer[c["id"]][2] if own and c["id"] in answer else None
+                linked += result is not None
+                errors += [f"{'?' if c['id'] is None else c['id']}: {e}" for e in wrong]
+                said.append({"arguments": chat.json.loads(c["arguments"]), "errors": wrong, "id": c["id"], "level": None if gone else depth, "name": c["name"], "result": result})
+            told = [{"content": x["content"], "id": x["id"], "orphan": x["id"] not in first, "repeated": answer[x["id"]][:2] != (n, k)} for k, x in enumerate(results)]
+            message = {"role": r[2], "content": content} | ({"tool_calls": said} if said else {}) | ({"tool_results": told} if told else {})
+            text = chat.canonical(message)
+            out[(r[0], r[1], r[2], len(calls), len(results), linked, sum(x["orphan"] for x in told), "; ".join(errors), text, hashlib.sha256(text.encode()).hexdigest())] += 1
+    return out
+
+
+def _random_chats(seed):
+    import random
+
+    pick = random.Random(seed)
+    data = []
+    for conv in [*range(8), None]:
+        for turn in [*range(pick.randint(2, 30)), None]:
+            ids = [f"k{pick.randint(0, 14)}" for _ in range(pick.randint(0, 3))]
+            if pick.random() < 0.6:
+                refs = ["${k%d.x}" % pick.randint(0, 16) for _ in range(pick.choice([0, 0, 1, 1, 2, 3]))]
+                text = "say " + "".join(f'<tool_call>{{"id":"{i}","name":"{pick.choice(["calculate", "calculate", "nope"])}","arguments":{{"expression":"{" ".join(refs)}"}}}}</tool_call>' for i in ids)
+                data.append((conv, turn, "assistant", text))
+            else:
+                data.append((conv, turn, pick.choice(["tool", "user"]), "so " + "".join(f'<tool_result id="{i}">{turn}é</tool_result>' for i in ids)))
+    # a long chain of calls with one reference each, a circle that a chain leads into, and calls above both
+    link = lambda i, *refs: f'<tool_call>{{"id":"{i}","name":"calculate","arguments":{{"expression":"{" ".join("${" + r + "}" for r in refs)}"}}}}</tool_call>'
+    chain = [link("z0")] + [link(f"z{i}", f"z{i - 1}") for i in range(1, 70)]
+    ring = [link("r0", "r2"), link("r1", "r0"), link("r2", "r1"), link("r3", "r2"), link("r4", "r3", "z5"), link("w", "z9", "z20"), link("ww", "w", "z30"), link("v", "ww")]
+    pick.shuffle(chain)
+    return data + [(99, 0, "assistant", "".join(chain)), (99, 1, "assistant", "".join(ring))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_chats_equal_brute_force_whatever_the_layout(spark, seed):
+    data = _random_chats(seed)
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    want = _brute_chat(data)
+    for parts in (1, 5):
+        assert collections.Counter(tuple(r) for r in chat.format_chats(d.repartition(parts)).collect()) == want
+
+
+def test_equal_turns_and_clashing_columns(spark):
+    call = lambda x: f'<tool_call>{{"id":"a","name":"search","arguments":{{"query":"{x}"}}}}</tool_call>'
+    data = [(1, 0, "assistant", call("p")), (1, 0, "assistant", call("q")), (1, 0, "assistant", call("q")), (1, 1, "tool", '<tool_result id="a">r</tool_result>')]
+    names = ["mid", "h", "k", "c", "node", "at", "id", "calls", "results", "content", "level", "ref", "w", "to"]
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({n: F.lit("x") for n in names})
+    seen = {tuple(sorted((r["n_linked"], r["errors"]) for r in rows(chat.format_chats(d.repartition(n))))) for n in (1, 2, 4)}
+    assert len(seen) == 1 and sum(n for n, _ in seen.pop()) == 1
+
+
+_ODD = [
+    '{"limit":NaN}', '{"limit":1e999}', '{"query":"\\ud800"}', '{"query":"x","limit":' + "9" * 5000 + "}", '{"query":' + "[" * 3000 + "]" * 3000 + "}", '{"query":' + '{"a":' * 2000 + "1" + "}" * 2000 + "}",
+    "[1]", "null", "", '{"a":-Infinity}', '{"\\udfff":1}', '"{\\"query\\":\\"\\\\ud800\\"}"',
+]
+
+
+def test_no_text_ends_the_job(spark):
+    texts = [f'<tool_call>{{"id":"a","name":"search","arguments":{x}}}</tool_call>' for x in _ODD] + [f'{{"tool_calls":[{{"id":"a","name":"search","arguments":{x or "0"}}}]}}' for x in _ODD]
+    texts += ['{"tool_call_id":"a","content":' + (x or "0") + "}" for x in _ODD] + ['{"tool_calls":[null,1,{"id":{},"name":[]}]}', '{"tool_calls":[{"id":1.5,"name":"search"}]}', "<tool_call>" * 50_000, "long " * 400_000]
+    d = spark.createDataFrame([(i, 0, "tool" if "tool_call_id" in t else "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in rows(chat.format_chats(d))}
+    assert len(got) == len(texts)
+    for i in range(len(_ODD)):
+        assert got[i]["errors"], _ODD[i][:40]
+
+
+@given(st.text(max_size=60), st.recursive(st.none() | st.booleans() | st.floats() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=8))
+@settings(max_examples=150, deadline=None)
+def test_parse_takes_anything(noise, value):
+    body = chat.json.dumps({"id": "a", "name": "search", "arguments": value})
+    for text in (noise, f"<tool_call>{body}</tool_call>{noise}", chat.json.dumps({"tool_calls": [value]}), chat.json.dumps({"tool_call_id": value, "content": value})):
+        for role in ("assistant", "tool", None):
+            _, calls, results = chat.parse(role, text.encode("utf-8", "replace").decode(), chat.TOOLS)
+            chat.canonical([calls, results]).encode()
+
+
+def test_derived_calls_link_on_every_kind(spark):
+    d = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"say \\ \"{c}\"\t{t}") for c in range(40) for t in range(8)], "conv_id long, turn long, role string, text string")
+    made = chat.with_calls(d)
+    done = chat.format_chats(made)
+    got = collections.Counter(tuple(r) for r in done.collect())
+    assert got == _brute_chat([tuple(r) for r in made.collect()])
+    assert sum(r[5] * n for r, n in got.items()) > 40 and sum(r[6] * n for r, n in got.items()) > 20
+    import duckdb
+
+    table = d.toArrow()
+    con = duckdb.connect()
+    con.register("conversations", table)
+    cur = con.execute(chat.oracle())
+    names = [c[0] for c in cur.description]
+    want = collections.Counter(tuple(dict(zip(names, r))[k] for k in done.columns) for r in cur.fetchall())
+    assert got == want
+
+
 def test_schemas():
     s = {"type": "array", "items": {"type": "integer", "enum": [1, 2]}}
     assert chat.validate([1, 3, "x"], s) == ["$[1]: not in enum", "$[2]: not integer"]
     assert chat.validate(True, {"type": "integer"}) == ["$: not integer"] and chat.validate(None, {"type": "null"}) == []
+    assert chat.validate({"a": 5}, {"properties": {"a": {"exclusiveMaximum": 5}}}) == ["$.a: above maximum"] and chat.validate([1, 1.0], {"uniqueItems": True, "maxItems": 1}) == ["$: too long", "$: repeated items"]
+    assert chat.validate(3, {"anyOf": [{"type": "string"}, {"const": 3.0}]}) == [] and chat.validate(3, {"oneOf": [{"minimum": 1}, {"maximum": 5}]}) == ["$: not one of the alternatives"]
+    with pytest.raises(ValueError, match="not supported"):
+        chat.check_schema({"properties": {"a": {"$ref": "#"}}})
     assert chat.canonical({"b": 1.0, "a": [float("nan"), "é"]}) == '{"a":[null,"é"],"b":1}'
 
 
@@ -132,9 +284,10 @@ def test_mixing(spark, docs, clashing):
     sizes, taken, target = collections.Counter(), collections.Counter(), {}
     u = common.staged(mixing.units(docs), "u")
     got = rows(mixing.mix(u))
+    assert len(got) == docs.count()
     for r in got:
-        sizes[r["source"]] += r["size"] * r["n"]
-        taken[r["source"]] += r["size"] * r["n"] * r["copies"]
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["size"] * r["copies"]
         target[r["source"]] = r["target"]
     want = _brute_targets(dict(sizes))
     words = collections.Counter()
@@ -145,20 +298,59 @@ def test_mixing(spark, docs, clashing):
     for r in got:
         assert target[r["source"]] == pytest.approx(want[r["source"]])
         assert math.floor(rate[r["source"]] - 1e-9) <= r["copies"] <= min(2, math.ceil(rate[r["source"]] + 1e-9))
-    most = {s: max(r["size"] * r["n"] for r in got if r["source"] == s) for s in sizes}
+    most = {s: max(r["size"] for r in got if r["source"] == s) for s in sizes}
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= most[s] / 2 + 1e-6
+        assert abs(taken[s] - want[s]) <= most[s] + 1e-6
     again = rows(mixing.mix(common.staged(mixing.units(clashing.repartition(7)), "u")))
     assert sorted(map(repr, got)) == sorted(map(repr, again))
+    # the rows themselves, as often as the mix takes them
+    mixed = common.staged(mixing.mix(u), "mixed")
+    for table in (docs, clashing):
+        out = rows(mixing.taken_rows(table, mixed))
+        assert mixing.taken_rows(table, mixed).columns == table.columns
+        assert collections.Counter((r["doc_id"], r["source"], r["text"]) for r in out).total() == sum(r["copies"] for r in got)
+        per = collections.Counter((r["doc_id"], r["source"]) for r in out)
+        due = collections.Counter()
+        for r in got:
+            due[(r["doc_id"], r["source"])] += r["copies"]
+        assert per == +due
 
 
 def test_mixing_comes_near_with_many(spark):
     d = spark.range(3000).selectExpr("id AS doc_id", "concat('s', id % 5) AS source", "repeat('w ', cast(5 + id * 7919 % 400 AS int)) AS text")
     got = mixing.mix(common.staged(mixing.units(d), "u"))
-    for r in rows(got.groupBy("source").agg(F.sum(F.expr("copies * size * n")).alias("taken"), F.first("target").alias("target"))):
+    for r in rows(got.groupBy("source").agg(F.sum(F.expr("copies * size")).alias("taken"), F.first("target").alias("target"))):
         assert abs(r["taken"] - r["target"]) <= 3
 
 
+def test_repeats_of_a_row_are_drawn_apart(spark):
+    """A source of one row a thousand times comes as near its target as any other."""
+    d = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "concat('s', id % 3) AS source", "repeat('w ', 10) AS text")
+    got = common.staged(mixing.mix(common.staged(mixing.units(d), "u")), "m")
+    assert got.count() == 3000
+    for r in rows(got.groupBy("source").agg(F.sum(F.expr("copies * size")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most"), F.min("copies").alias("least"))):
+        assert abs(r["taken"] - r["target"]) <= 10
+        assert r["most"] - r["least"] <= 1
+    assert mixing.taken_rows(d, got).count() == got.agg(F.sum("copies")).first()[0]
+
+
+def test_targets_of_many_sources(spark):
+    """Ranks and levels are totals of ranges; more sources than partitions, and null."""
+    d = [(f"h{i:03d}.example" if i else None, 1 + i * 7919 % 1000 * (50 if i % 9 == 0 else 1)) for i in range(300)]
+    sizes = common.staged(spark.createDataFrame(d, "source string, source_size long").repartition(3), "sizes")
+    want = _brute_targets(dict(d))
+    got = {r["source"]: r["target"] for r in rows(mixing.targets(sizes))}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_the_last_draw_is_by_chance(spark):
+    """A source of one document: over many sources the copies average to the target."""
+    d = spark.range(600).selectExpr("id AS doc_id", "concat('s', lpad(id, 4, '0')) AS source", "repeat('w ', 10) AS text")
+    got = rows(mixing.mix(common.staged(mixing.units(d), "u")))
+    part = [r for r in got if 0 < r["target"] / 10 % 1 < 1]
+    assert len(part) > 100 and sum(r["copies"] for r in part) == pytest.approx(sum(r["target"] / 10 for r in part), rel=0.15)
+
+
 def test_mixing_expectation(spark):
     """Each document's chance of the extra copy is the fractional part, whatever its size."""
     d = spark.range(4000).selectExpr("id AS doc_id", "concat('s', id % 3) AS source", "repeat('w ', cast(1 + id % 37 AS int)) AS text")
@@ -284,6 +476,86 @@ def test_sniffing_and_carving(spark):
     assert got == {1: ("image/png", len(png), 1), 2: (None, 0, 0), 3: ("empty", 0, 0), 4: ("text/plain", 5, 0)}
 
 
+def _flac(frames, known=True, size=48):
+    """A FLAC stream of verbatim frames of 16 samples, written out by hand."""
+    def crc(data, width, rule):
+        x = 0
+        for byte in data:
+            x ^= byte << width - 8
+            for _ in range(8):
+                x = (x << 1 ^ rule if x >> width - 1 else x << 1) & (1 << width) - 1
+        return x
+
+    info = struct.pack(">HH", 16, 16) + bytes(6) + ((8000 << 44) | (7 << 36) | (16 * frames if known else 0)).to_bytes(8, "big") + bytes(16)
+    out = b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info
+    for i in range(frames):
+        head = bytes([0xFF, 0xF8, 0x60, 0x02, i, 15])
+        head += bytes([crc(head, 8, 0x07)])
+        body = head + b"\x02" + bytes((i * 37 + k * 11) % 251 for k in range(16))
+        out += body + crc(body, 16, 0x8005).to_bytes(2, "big")
+    return out
+
+
+def _pdf(n):
+    body = b"%PDF-1.4\n1 0 obj<<>>endobj\n" + b"%" + b"x" * n + b"\n"
+    return body + b"xref\n0 1\ntrailer<<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+
+
+def _zip(n):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(n):
+            z.writestr(f"f{i}", "data" * i)
+    return out.getvalue()
+
+
+def _jpeg(n):
+    part = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    return b"\xff\xd8" + part(0xE0, b"JFIF\0") + part(0xDA, b"\1") + b"ab\xff\0c\xff\xd1" * n + part(0xC4, b"\0\1") + part(0xDA, b"\2") + b"xyz" + b"\xff\xd9"
+
+
+def _brute_carve(data):
+    """Every validator at every place; outermost media win."""
+    out, upto = [], 0
+    for at in range(len(data)):
+        for magic, place, kind, check in media.SIGNATURES:
+            if at >= upto and data[at + place : at + place + len(magic)] == magic and (not place or data[at : at + 4] == b"RIFF") and (n := check(data, at)):
+                out.append((at, n, kind))
+                upto = at + n
+                break
+    return out
+
+
+def test_carving_finds_every_medium_of_a_container():
+    import random
+
+    kinds = {
+        "image/png": lambda k: _png(), "application/gzip": lambda k: gzip.compress(b"hello" * k, mtime=0), "audio/wav": lambda k: media.wave(b"abc" * k), "application/pdf": lambda k: _pdf(k * 7),
+        "audio/flac": lambda k: _flac(k, k % 2 == 0), "application/zip": lambda k: _zip(k), "image/jpeg": lambda k: _jpeg(k),
+    }
+    for seed in range(25):
+        pick = random.Random(seed)
+        data, want = b"", []
+        for _ in range(pick.randint(2, 7)):
+            data += bytes(pick.choice(b"abcPKBMxyz %\0\xff") for _ in range(pick.randint(0, 40)))
+            kind = pick.choice(sorted(kinds))
+            medium = kinds[kind](pick.randint(1, 6))
+            want.append((len(data), len(medium), kind))
+            data += medium
+        assert media.carve(data) == _brute_carve(data) == want, seed
+        for at, n, kind in want:
+            assert media.sniff(data[at : at + n]) == (kind, n)
+
+
+def test_declared_types_are_corrected():
+    assert not media.corrected("audio/x-wav", "audio/wav") and media.corrected("image/png", "audio/wav") and media.corrected(None, "audio/wav")
+    torn = _flac(4)
+    assert media.carve(torn[:-1]) == [] and media.carve(torn[:-20] + b"\0" + torn[-19:]) == []
+
+
 def test_media_store(spark, docs, clashing, empty):
     for d in (docs, clashing):
         path = f"{common.shared_dir(spark)}/m-{uuid.uuid4().hex}"
@@ -296,6 +568,16 @@ def test_media_store(spark, docs, clashing, empty):
             want[(r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(media.wave(payload)).hexdigest())] += 1
         assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["media_sha256"]) for r in got) == want
         assert all(r["media_type"] == "audio/wav" and r["media_bytes"] == r["payload_bytes"] + 44 for r in got)
+        assert {r["was_corrected"] for r in got} == {True, False} and all(r["was_corrected"] == (r["declared"] != "audio/x-wav") for r in got)
+        about = {r["payload_sha256"]: r["feature"] for r in got}
+        for r in rows(docs):
+            raw = (r["text"] or "").encode()
+            x = list(raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw)))
+            n, counts = len(x), collections.Counter(x)
+            entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+            f = dict(p.split("=", 1) for p in about[hashlib.sha256(bytes(x)).hexdigest()].split(";")[1:])
+            assert (f["channels"], f["rate"], f["bits"], f["frames"], f["embedded"]) == ("1", "8000", "8", str(n), "[]")
+            assert float(f["mean"]) == pytest.approx(sum(x) / n, abs=1e-4) and float(f["rms"]) == pytest.approx(math.sqrt(sum((v - 128) ** 2 for v in x) / n), abs=1e-4) and float(f["entropy"]) == pytest.approx(entropy, abs=1e-4)
     path = f"{common.shared_dir(spark)}/m-{uuid.uuid4().hex}"
     media.store_texts(empty, path)
     assert media.read_stored(spark, path).count() == 0
@@ -326,6 +608,32 @@ def test_automaton_equals_edit_distance(word):
     assert lex.find(word) == (max(found) if found else None)
 
 
+def test_disguises_and_joined_words():
+    lex = toxicity.Lexicon({"scum": (3.0, False), "idiot": (3.0, False), "moron": (3.0, False)})
+    m = toxicity.Matcher(lex)
+    for chunk, term in (("$cum", "scum"), ("idiot,moron", "moron"), ("the/idiot", "idiot"), ("you-idiot!", "idiot"), ("1d1ot", "idiot"), ("m.o.r.o.n", "moron"), ("(Scum)", "scum"), ("the\u00a0idiot", "idiot")):
+        assert m._hit(chunk.encode())[0] == term, chunk
+    assert m._hit(b"idea") == () and m._hit("字" .encode() * 100_000) == ()
+
+
+def test_automaton_stays_bounded():
+    lex = toxicity.Lexicon({t: (1.0, i % 2 == 0) for i, t in enumerate(toxicity.SEEDS)})
+    lex.compile()
+    import random
+
+    pick = random.Random(0)
+    words = ["".join(pick.choice("abcdefghijklmnopqrstuvwxyzéß字") for _ in range(pick.randint(3, 12))) for _ in range(3000)] + [t[:3] + "x" + t[4:] for t in toxicity.SEEDS]
+    want = [lex.find(w) for w in words]
+    toxicity.MOST_STATES, toxicity.MOST_STEPS, old = 200, 2000, (toxicity.MOST_STATES, toxicity.MOST_STEPS)
+    try:
+        small = toxicity.Lexicon(lex.terms)
+        small.compile()
+        for w, found in zip(words, want):
+            assert small.find(w) == found and len(small.states) <= 400
+    finally:
+        toxicity.MOST_STATES, toxicity.MOST_STEPS = old
+
+
 def test_toxicity(spark, docs, clashing, empty):
     plain = "the people of this town {0} walk along the river and talk about the weather of day {0} with care"
     slurs = ["zorgling", "zorglers", "vexmuk", "vexmukken", "idiot", "scum"]
@@ -481,18 +789,69 @@ def test_links_lose_nothing(spark, crowd):
     assert [got[i] for i, _ in pairs] == _brute_components(pairs)
 
 
+def _brute_shingles(text):
+    words = WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _brute_kept(pairs):
+    """Ids that stay: the least of each group of texts that are equal or share four fifths of their shingles."""
+    sets = [(d, _brute_shingles(t)) for d, t in pairs]
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a == b or (a and b and 5 * len(a & b) >= 4 * len(a | b)):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        k = (d is None, d or 0)
+        least[find(i)] = min(k, least.get(find(i), k))
+    return sorted(None if gone else d for gone, d in least.values()) if None not in [d for d, _ in pairs] else sorted(((gone, d) for gone, d in least.values()))
+
+
 def test_representatives(spark, docs, clashing, empty):
-    kept = rows(simhash.keep_representatives(docs))
-    pairs = [(r["doc_id"], _brute_fingerprint(r["text"])) for r in rows(docs)]
-    groups = collections.defaultdict(set)
-    for (d, f), c in zip(pairs, _brute_components(pairs), strict=True):
-        groups[c if c is not None else ("null", f)].add(d)
-    assert len(kept) == len(groups)
-    assert {r["doc_id"] for r in kept} == {min((x for x in g if x is not None), default=None) for g in groups.values()}
+    pairs = [(r["doc_id"], r["text"]) for r in rows(docs)]
+    want = _brute_kept(pairs)
+    for table in (docs, clashing.repartition(5)):
+        kept = rows(simhash.keep_representatives(table))
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == want
     assert simhash.keep_representatives(clashing).columns == clashing.columns
     assert simhash.keep_representatives(empty).count() == 0
 
 
+def test_near_copies_are_found_and_others_kept(spark):
+    """Copies with changed words at likenesses about 0.8, clusters of many copies, and texts that share a passage."""
+    import random
+
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[pick.choice(words) for _ in range(pick.randint(6, 300))] for _ in range(60)]
+    texts = [list(b) for b in base]
+    for b in base[:40]:
+        for changes in (1, max(1, len(b) // 60), max(1, len(b) // 45), max(1, len(b) // 30)):
+            t = list(b)
+            for at in pick.sample(range(len(t)), changes):
+                t[at] = pick.choice(words)
+            texts.append(t)
+    for _ in range(80):  # one text in many versions
+        t = list(base[0]) + ["end"] * 3
+        t[pick.randrange(len(t))] = pick.choice(words)
+        texts.append(t)
+    passage = [pick.choice(words) for _ in range(60)]
+    texts += [[pick.choice(words) for _ in range(70)] + passage for _ in range(60)]
+    texts += [["Short", "one"], ["short", "ONE"], ["short"], [], []]
+    pick.shuffle(texts)
+    pairs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(pairs, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_representatives(d))) == _brute_kept(pairs)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(60)]
     hub = [(1000, 1000 + i) for i in range(1, 80)] + [(5, 5)]
@@ -528,6 +887,30 @@ def test_secrets(spark, docs, clashing, empty):
     assert secrets.scan(clashing).select("row.*").columns == clashing.columns and secrets.scan(empty).count() == 0
 
 
+def test_posting_lists(spark):
+    """The index holds the places of each wanted trigram, block by block; queries leave just the rows that hold their trigrams."""
+    asked = [trigrams.query(r.pattern) for r in secrets.RULES]
+    wanted = sorted(set().union(*map(trigrams.trigrams, asked)))
+    texts = [t or "" for t in _SECRETS] * 3 + ["tokeN passwd AKIAPI_KEY", "passpasswordsecretoken", "eyj-----begin private key", "xoxp-xoxa-", "it's -- a\\b", "ghp_ aiza"]
+    at = [*range(len(texts) - 3), 4096, 5000, 9000]
+    d = spark.createDataFrame(list(zip(at, texts)), "n long, t string")
+    index = {(r["block"], r["trigram"]): r["places"] for r in rows(secrets.index(d, wanted))}
+    want = collections.defaultdict(list)
+    for n, t in zip(at, texts):
+        for g in wanted:
+            if g in t.lower():
+                want[(n // 4096, g)].append(n % 4096)
+    assert index == dict(want)
+
+    def holds(q, t):
+        return q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(p, t) for p in q[1])
+
+    got = {r["n"]: set(r["rules"]) for r in rows(secrets.candidates(secrets.index(d, wanted), asked))}
+    left = {n: {i for i, q in enumerate(asked) if q is not True and holds(q, t.lower())} for n, t in zip(at, texts)}
+    assert got == {n: s for n, s in left.items() if s}
+    assert secrets.index(d.limit(0), wanted).count() == 0
+
+
 def test_redaction(spark):
     d = spark.createDataFrame([("x token=0123456789abcdef0123456789abcdef y ghp_" + "a" * 40,), ("plain",)], "text string")
     got = [r.c for r in secrets.scan(d).select(secrets.redacted("t", "spans").alias("c")).collect()]
