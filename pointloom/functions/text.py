@@ -98,16 +98,66 @@ def extract_json(v: Column) -> Column:
     return F.when(F.try_parse_json(v).isNotNull(), v).when(F.try_parse_json(inner).isNotNull(), inner)
 
 
+#: A JSON string, whole or cut off by the end of the text.
+_STRING = r'"(?:[^"\\]|\\.)*(?:"|$)'
+
+
 def repair_json(v: Column) -> Column:
-    """Model output as JSON: fences off, straight quotes, no trailing commas, JSON's own constants."""
+    """Model output as JSON: fences off, straight quotes, the first object, no trailing commas, JSON's own constants, open ends closed.
+
+    Marks and constants inside strings stay as they are: the text is taken
+    apart into strings and single marks, and brackets are counted among the
+    latter only. Null if nothing can be read.
+    """
     s = F.regexp_replace(F.trim(v), r"(?s)^```[A-Za-z]*\s*|\s*```$", "")
     s = F.translate(s, "“”‘’", "\"\"''")
-    s = F.regexp_replace(s, r",\s*([}\]])", "$1")
-    for theirs, ours in (("True", "true"), ("False", "false"), ("None", "null")):
-        s = F.regexp_replace(s, rf"(?<=[:\[,\s]){theirs}(?=[,\]}}\s])", ours)
-    opened = F.length(F.regexp_replace(s, r"[^{]", "")) - F.length(F.regexp_replace(s, r"[^}]", ""))
-    closed = F.when(opened > 0, F.concat(F.regexp_replace(s, r",\s*$", ""), F.repeat(F.lit("}"), opened))).otherwise(s)
-    return F.coalesce(extract_json(s), extract_json(closed))
+    s = F.regexp_extract(s, r"(?s)\{.*", 0)
+    pieces = F.regexp_extract_all(s, F.lit(rf"(?s){_STRING}|[A-Za-z]+|\s+|."), F.lit(0))
+    plain = F.transform(pieces, lambda x: F.when(x == "True", "true").when(x == "False", "false").when(x == "None", "null").otherwise(x))
+    # the brackets that are open after each piece, and the text up to where the first object ends
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("open"), F.lit(False).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        closer = F.when(x == "{", "}").when(x == "[", "]")
+        left = F.slice(a["open"], 1, F.greatest(F.size(a["open"]) - 1, F.lit(0)))
+        now = F.when(closer.isNotNull(), F.concat(a["open"], F.array(closer))).when(x.isin("}", "]"), left).otherwise(a["open"])
+        return F.when(a["done"], a).otherwise(F.struct(F.concat(a["out"], F.array(x)).alias("out"), now.alias("open"), (x.isin("}", "]") & (F.size(left) == 0)).alias("done")))
+
+    def finish(a: Column) -> Column:
+        last = F.element_at(a["out"], -1)
+        torn = last.startswith('"') & ((F.length(last) == 1) | ~last.endswith('"'))
+        body = F.concat(F.array_join(a["out"], ""), F.when(torn, F.lit('"')).otherwise(F.lit("")))
+        return F.concat(F.regexp_replace(body, r"[,:\s]+$", ""), F.array_join(F.reverse(a["open"]), ""))
+
+    whole = F.when(F.size(plain) > 0, F.aggregate(plain, start, step, finish))
+    without = F.regexp_replace(whole, rf"(?s)({_STRING})|,\s*(?=[}}\]])", "$1")
+    return F.coalesce(F.when(F.try_parse_json(without).isNotNull(), without), extract_json(F.trim(v)))
+
+
+def safe_object(v: Column) -> Column:
+    """The text if it is a JSON object, else {}."""
+    return F.when(F.coalesce(F.schema_of_variant(F.try_parse_json(v)).startswith("OBJECT"), F.lit(False)), v).otherwise(F.lit("{}"))
+
+
+def scalar(v: Column) -> Column:
+    """A manifest cell as a JSON value: blank, null and none are null, true and false booleans, JSON is taken over, all else is text."""
+    t, low = F.trim(v), F.lower(F.trim(v))
+    return (
+        F.when(low.isin("", "null", "none"), F.lit(None)).when(low.isin("true", "false"), low)
+        .when((t.startswith("{") | t.startswith("[")) & F.try_parse_json(t).isNotNull(), t).otherwise(F.to_json(F.struct(t.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(t.alias("v")))) - 6))
+    )
+
+
+def escape_html(v: Column) -> Column:
+    out = v
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def compact(v: Column, places: int = 5) -> Column:
+    """Numbers for export: half to even at ``places``."""
+    return F.bround(v, places)
 
 
 def confidence(v: Column) -> Column:

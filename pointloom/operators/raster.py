@@ -139,6 +139,31 @@ def component_proposals(pixels: DataFrame, keys: list[str], view: str, point: st
     return shown.join(d, [*on, "component"]).select(*keys, "seed", point).distinct()
 
 
+def top_components(boxes: DataFrame, keys: list[str], score: str, most: int) -> DataFrame:
+    """The ``most`` best components of each view; of equal scores the first."""
+    from pointloom.operators import windows
+
+    return windows.ranked(boxes, keys, [F.col(score).desc(), F.col("component")]).filter(F.col("place") <= most)
+
+
+def depth_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """r, g, b of pixels by depth within each view: 50 to 255 from the least to the largest, 180 where all are one."""
+    span = pixels.groupBy(*keys).agg(F.min("depth").alias("__lo"), F.max("depth").alias("__hi"))
+    v = F.when(F.col("__hi") - F.col("__lo") < 1e-6, F.lit(180)).otherwise(F.floor((F.col("depth") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 205 + 50)).cast("int")
+    d = pixels.join(span, keys).withColumn("g", v)
+    return d.withColumns({"r": F.floor(F.col("g") / 3).cast("int"), "b": 255 - F.floor(F.col("g") / 4).cast("int")}).drop("__lo", "__hi")
+
+
+def in_polygons(pixels: DataFrame, polygons: DataFrame, keys: list[str], polygon: str) -> DataFrame:
+    """keys, polygon, px, py of pixels inside polygons (keys, polygon, corners: array of x, y) by the even-odd rule."""
+    edge = "transform(corners, (a, i) -> struct(a.x AS x1, a.y AS y1, corners[(i + 1) % size(corners)].x AS x2, corners[(i + 1) % size(corners)].y AS y2))"
+    box = [f"array_{f}(transform(corners, a -> a.{k})) AS b{k}{n}" for f, n in (("min", 1), ("max", 2)) for k in "xy"]
+    d = pixels.join(polygons.selectExpr(*keys, polygon, f"{edge} AS edges", *box), keys)
+    d = d.filter("px BETWEEN bx1 AND bx2 AND py BETWEEN by1 AND by2")
+    crossed = "size(filter(edges, e -> (e.y1 > py) <> (e.y2 > py) AND px < (e.x2 - e.x1) * (py - e.y1) / (e.y2 - e.y1) + e.x1))"
+    return d.filter(f"{crossed} % 2 = 1").select(*keys, polygon, "px", "py").distinct()
+
+
 def component_score(upper: Column, small: Column, bonus: Column) -> Column:
     """Score of a hook component: twice if it is high, half a point if small, and a bonus."""
     return F.when(upper, 2.0).otherwise(0.0) + F.when(small, 0.5).otherwise(0.0) + bonus

@@ -65,6 +65,28 @@ def release(rows: DataFrame, keys: list[str], seq: str, reason: Column, split: s
     return kept, last.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def review_counters(samples: DataFrame, review: DataFrame) -> DataFrame:
+    """counter, a, b, n: the counts of an applied review, blanks as <empty>.
+
+    status; keep by task; decision by executor; issue by executor; refine rows
+    by executor; errors of the rules by executor.
+    """
+    show = lambda v: F.when(F.coalesce(F.trim(v), F.lit("")) == "", F.lit("<empty>")).otherwise(v)
+    d = samples.select("sample_id", "task").join(review.select("sample_id", "review_status", "keep_sample"), "sample_id", "left")
+    channel = long_decisions(review).join(samples.select("sample_id"), "sample_id", "left_semi")
+    refine = F.col("decision").isin(*c.REFINE_DECISIONS)
+    rows = lambda df, name, a, b: df.select(F.lit(name).alias("counter"), a.alias("a"), b.alias("b"))
+    parts = [
+        rows(d, "review_status", show(F.col("review_status")), F.lit("")), rows(d, "task_keep", F.col("task"), show(F.col("keep_sample"))),
+        rows(channel, "executor_decision", F.col("executor"), show(F.col("decision"))), rows(channel, "executor_issue", F.col("executor"), show(F.col("issue_type"))),
+        rows(channel.filter(refine), "executor_refine", F.col("executor"), F.col("decision")), rows(channel.filter(refine), "rule_error", F.col("executor"), text.rule_error(F.col("issue_type"), F.col("decision"))),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("counter", "a", "b").agg(F.count("*").alias("n"))
+
+
 def long_decisions(review: DataFrame) -> DataFrame:
     """sample_id, executor, decision, issue_type, notes from three columns an executor."""
     parts = ", ".join(f"'{e}', {e}_decision, {e}_issue_type, {e}_notes" for e in c.EXECUTORS)
@@ -85,7 +107,9 @@ def apply_review(samples: DataFrame, masks: DataFrame, review: DataFrame, point:
     channel = long_decisions(review).join(kept.select("sample_id", "object_category", "task"), "sample_id")
     off = channel.filter(F.col("decision").isin(*c.DISABLE_DECISIONS)).select("sample_id", "executor")
     left = masks.join(kept.select("sample_id"), "sample_id", "left_semi").join(off, ["sample_id", "executor"], "left_anti")
-    quality = F.coalesce(text.blank_to_null(F.col("quality_after_review")), F.col("quality_flag"))
+    given = text.blank_to_null(F.col("quality_after_review"))
+    given = F.when(given.isNotNull() & ~given.isin(*c.QUALITY_FLAGS), F.raise_error(F.concat(F.lit("quality_after_review: "), given)).cast("string")).otherwise(given)
+    quality = F.coalesce(given, F.col("quality_flag"))
     return {
         "kept": kept.withColumn("quality_flag", quality), "rejected": rejected.select("sample_id", "object_category", "task", "review_status", "keep_sample", "sample_issue_type", "sample_notes"),
         "refine_queue": channel.filter(F.col("decision").isin(*c.REFINE_DECISIONS)), "masks": left, "feasibility": rules.feasibility(left, kept, ["sample_id"], least),
@@ -100,11 +124,13 @@ def reconcile(samples: DataFrame, review: DataFrame, identity: list[str], defaul
 
 
 def edit_diff(before: DataFrame, after: DataFrame, keys: list[str], point: str) -> DataFrame:
-    """keys, added, removed: sorted points that an edit adds and takes away."""
-    a, b = (d.groupBy(*keys).agg(F.collect_set(point).alias(n)) for d, n in ((before, "old"), (after, "new")))
-    none = F.array().cast(dict(a.dtypes)["old"])
-    d = a.join(b, keys, "full_outer").select(*keys, F.coalesce("old", none).alias("old"), F.coalesce("new", none).alias("new"))
-    return d.select(*keys, F.array_sort(F.array_except("new", "old")).alias("added"), F.array_sort(F.array_except("old", "new")).alias("removed"))
+    """keys, added, removed: sorted points that an edit adds and takes away; only what differs is gathered."""
+    old, new = before.select(*keys, point).distinct(), after.select(*keys, point).distinct()
+    gather = lambda a, b, name: a.join(b, [*keys, point], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias(name))
+    every = before.select(*keys).union(after.select(*keys)).distinct()
+    d = every.join(gather(new, old, "added"), keys, "left").join(gather(old, new, "removed"), keys, "left")
+    none = F.array().cast(f"array<{dict(before.dtypes)[point]}>")
+    return d.withColumns({k: F.coalesce(k, none) for k in ("added", "removed")})
 
 
 def resolve_key(rows: DataFrame, wanted: str) -> DataFrame:
@@ -121,3 +147,8 @@ def counts_by(df: DataFrame, columns: list[str]) -> DataFrame:
     shown = [F.when(F.coalesce(F.trim(F.col(k).cast("string")), F.lit("")) == "", F.lit("<empty>")).otherwise(F.col(k).cast("string")).alias(k) for k in columns]
     parts = ", ".join(f"'{k}', {k}" for k in columns)
     return df.select(*shown).selectExpr(f"stack({len(columns)}, {parts}) AS (field, value)").groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def all_val(rows: DataFrame) -> DataFrame:
+    """split, sample_id: every row in val."""
+    return rows.select(F.lit("val").alias("split"), "sample_id")

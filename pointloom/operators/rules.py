@@ -145,14 +145,32 @@ def acceptance_gate(decision: Column, ran: Column, shown: Column, selected: Colu
     return F.when(ran, gated).otherwise(decision)
 
 
-def row_gate(df: DataFrame, keys: list[str], without_selection: str = "keep") -> DataFrame:
-    """Accepted candidates become uncertain where a selection ran but gave no sign at all, or, if told so, where none ran."""
+def row_gate(df: DataFrame, keys: list[str], least_votes: int, require_votes: bool = True, rules_alone: bool = True) -> DataFrame:
+    """The decision after what a selection says of the row's candidates as a whole.
+
+    Where a selection ran without any sign, accepted candidates become
+    uncertain and the acceptance gate does not run; where it gave signs, the
+    gate runs if ``require_votes``; where none ran, every candidate becomes
+    uncertain unless ``rules_alone``. Columns: decision, selected_votes,
+    uncertain_votes, selection_ran, shown (null without a list of shown ones).
+    """
     signal = df.groupBy(*keys).agg((F.max("selected_votes") + F.max("uncertain_votes") > 0).alias("__signal"), F.max("selection_ran").alias("__ran"))
     d = df.join(signal, keys)
-    down = F.col("__ran") & ~F.col("__signal")
-    if without_selection == "uncertain":
-        down = down | ~F.col("__ran")
-    return d.withColumn("decision", F.when(down & (F.col("decision") == "accept_candidate"), F.lit("uncertain")).otherwise(F.col("decision"))).drop("__signal", "__ran")
+    gated = acceptance_gate(F.col("decision"), F.lit(require_votes), F.col("shown"), F.col("selected_votes"), F.col("uncertain_votes"), least_votes)
+    without = F.col("decision") if rules_alone else F.lit("uncertain")
+    after = F.when(F.col("__ran") & F.col("__signal"), gated).when(F.col("__ran"), F.when(F.col("decision") == "accept_candidate", F.lit("uncertain")).otherwise(F.col("decision"))).otherwise(without)
+    return d.withColumn("decision", after).drop("__signal", "__ran")
+
+
+def manifest_defaults(rules: DataFrame, keys: list[str], policy: str = "accepted") -> DataFrame:
+    """keys, default_selected_candidates, accepted, uncertain: what a manifest starts with after the rules.
+
+    ``policy`` "accept_or_uncertain" falls back on the uncertain ones where none is accepted.
+    """
+    of = lambda d: F.transform(F.sort_array(F.collect_list(F.when(F.col("decision") == d, F.struct("place", "candidate_id")))), lambda x: x["candidate_id"])
+    out = rules.groupBy(*keys).agg(of("accept_candidate").alias("accepted"), of("uncertain").alias("uncertain"))
+    first = F.when(F.size("accepted") == 0, F.col("uncertain")).otherwise(F.col("accepted")) if policy == "accept_or_uncertain" else F.col("accepted")
+    return out.withColumn("default_selected_candidates", first)
 
 
 def selected_ids(rules: DataFrame, keys: list[str], uncertain_too: bool = False) -> DataFrame:
@@ -171,11 +189,17 @@ def overwrite_channel(base: DataFrame, new: DataFrame, keys: list[str], point: s
 
 
 def apply_overrides(base: DataFrame, overrides: DataFrame, keys: list[str], point: str) -> DataFrame:
-    """Set, then add, then remove, for each channel; ``overrides`` is (keys, executor, op, point)."""
+    """Set, then add, then remove, for each channel; ``overrides`` is (keys, executor, op, point).
+
+    One pass: a point's flags say where it comes from, and the channels that
+    are set are looked up. A ``set`` with a null point empties the channel.
+    """
     on = [*keys, "executor"]
-    o = {op: overrides.filter(F.col("op") == op).select(*on, point) for op in ("set", "add", "remove")}
-    out = base.select(*on, point).join(o["set"].select(*on).distinct(), on, "left_anti").unionByName(o["set"]).unionByName(o["add"]).distinct()
-    return out.join(o["remove"], [*on, point], "left_anti")
+    every = base.select(*on, point, F.lit("base").alias("op")).unionByName(overrides.select(*on, point, "op")).filter(F.col(point).isNotNull())
+    flags = every.groupBy(*on, point).agg(*[F.max(F.col("op") == op).alias(f"__{op}") for op in ("base", "set", "add", "remove")])
+    told = overrides.filter("op = 'set'").select(*on).distinct().withColumn("__told", F.lit(True))
+    d = flags.join(told, on, "left")
+    return d.filter("NOT __remove AND (__set OR __add OR (__base AND __told IS NULL))").select(*on, point)
 
 
 def region_masks(regions: DataFrame, task: str, key: str, point: str) -> DataFrame:

@@ -36,6 +36,25 @@ def missing_fields(lines: DataFrame) -> DataFrame:
     return d.select("line_no", F.get_json_object("value", "$.object_id").alias("object_id"), gone.alias("missing"))
 
 
+def check_samples(df: DataFrame, required: list[str], filled: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+    """All checks of sample rows: a row that lacks required fields (null) gets that one issue, others blank and enum issues.
+
+    Executor columns are checked where ``df`` has them.
+    """
+    gone = F.array_compact(F.array(*[F.when(F.col(k).isNull(), F.lit(k)) for k in required]))
+    d = df.withColumn("__gone", gone)
+    whole = d.filter(F.size("__gone") == 0)
+    parts = [_issue(d, F.size("__gone") > 0, F.concat(F.lit("missing required fields: "), F.array_join("__gone", ", "))), blank_issues(whole, filled), enum_issues(whole, allowed)]
+    if {"executor_order", "feasibility", "label_source", "negative_reason"} <= set(df.columns):
+        parts.append(executor_issues(whole))
+    return union(parts)
+
+
+def file_issues(missing: dict[str, str]) -> list[tuple[str, int, str, str]]:
+    """Issue rows of inputs (name -> path) that do not exist."""
+    return [("ERROR", 0, "", f"{name} does not exist: {path}") for name, path in missing.items()]
+
+
 def enum_issues(df: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     return union([_issue(df, ~F.coalesce(F.col(k).isin(*v), F.lit(False)), F.concat(F.lit(f"invalid {k}: "), F.coalesce(k, F.lit("null")))) for k, v in allowed.items()])
 
@@ -80,15 +99,16 @@ def mask_issues(samples: DataFrame, points: DataFrame, masks: DataFrame) -> Data
 
 
 def split_issues(samples: DataFrame, splits: DataFrame) -> DataFrame:
-    """sample ids against split files (split, sample_id): missing, extra, doubled, and in two splits."""
+    """sample ids against split files (split, sample_id): missing, extra, doubled, and in two splits; a row for each that holds."""
     s = splits.groupBy("sample_id").agg(F.countDistinct("split").alias("k"), F.count("*").alias("n"), F.min("split").alias("split"))
     m = samples.select("sample_id", F.col("split").alias("meant")).distinct()
     d = m.join(s, "sample_id", "full_outer")
-    message = (
-        F.when(F.col("n").isNull(), F.lit("missing from split file")).when(F.col("meant").isNull(), F.lit("not in metadata"))
-        .when(F.col("k") > 1, F.lit("in two splits")).when(F.col("n") > 1, F.lit("doubled in split file")).when(F.col("split") != F.col("meant"), F.lit("in another split's file"))
-    )
-    return d.select(F.lit("ERROR").alias("level"), "sample_id", message.alias("message")).filter("message IS NOT NULL")
+    says = [
+        (F.col("n").isNull(), "missing from split file"), (F.col("meant").isNull(), "not in metadata"), (F.col("k") > 1, "in two splits"),
+        (F.col("n") > F.col("k"), "doubled in split file"), ((F.col("k") == 1) & (F.col("split") != F.col("meant")), "in another split's file"),
+    ]
+    every = F.array_compact(F.array(*[F.when(F.coalesce(when, F.lit(False)), F.lit(what)) for when, what in says]))
+    return d.select(F.lit("ERROR").alias("level"), "sample_id", F.explode(every).alias("message"))
 
 
 def missing_splits(found: list[str]) -> list[str]:

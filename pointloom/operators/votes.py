@@ -103,3 +103,9 @@ def supplement(proposals: DataFrame, pixels: DataFrame, keys: list[str], view: s
     top = order.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("first_seen"))).filter(F.col("__n") <= groups).select(*keys, "slug", "first_seen")
     hit = joins.in_boxes(pixels, d, [*keys, view]).select(*keys, "slug", point).distinct()
     return hit.join(top, [*keys, "slug"])
+
+
+def best_mask(masks: DataFrame, keys: list[str], mask: str, score: str) -> DataFrame:
+    """keys, mask, score of the best mask of each prompt; of equal scores the first."""
+    best = masks.groupBy(*keys).agg(F.min(F.struct((-F.col(score)).alias("s"), F.col(mask).alias("m"))).alias("b"))
+    return best.select(*keys, F.col("b.m").alias(mask), (-F.col("b.s")).alias(score))

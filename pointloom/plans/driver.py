@@ -8,6 +8,7 @@ events are reviews and edits, conversations are views of pilots.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pointloom import constants as c
 from pointloom.functions import boxes, text
 from pointloom.operators import candidates, geometry, graph, joins, raster, review, rules, validate, votes, windows
+from pointloom.streaming import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,13 +247,18 @@ def validation_issues(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- votes and rules
 
-@query("""WITH v AS (SELECT l_partkey, l_linestatus AS role, count(*) AS votes FROM lineitem WHERE l_discount >= 0.05 GROUP BY ALL), s AS (SELECT l_partkey, count(*) AS visible FROM lineitem GROUP BY ALL)
-SELECT l_partkey, role, votes, visible, round(votes / CAST(visible AS DOUBLE), 9) AS score FROM v JOIN s USING (l_partkey) WHERE votes / CAST(visible AS DOUBLE) >= 0.3 AND visible >= 2""")
+_VIEW = "SELECT DISTINCT l_suppkey % 10 AS obj, l_linenumber AS view, CAST(l_orderkey % 64 AS INTEGER) AS px, CAST(l_partkey % 64 AS INTEGER) AS py"
+
+
+@query(f"""WITH p AS ({_VIEW}, l_partkey % 500 AS point FROM lineitem), m AS ({_VIEW}, CASE l_linestatus WHEN 'O' THEN 'hook' ELSE 'gripper' END AS executor, CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.25 END AS value FROM lineitem WHERE l_linenumber <> 4),
+s AS (SELECT obj, point, count(*) AS visible FROM p WHERE (obj, view) IN (SELECT (obj, view) FROM m) GROUP BY ALL), h AS (SELECT obj, point, executor, count(*) AS votes FROM p JOIN m USING (obj, view, px, py) WHERE value >= 0.5 GROUP BY ALL)
+SELECT obj, point, executor, votes, visible, round(votes / CAST(visible AS DOUBLE), 9) AS score FROM h JOIN s USING (obj, point) WHERE votes / CAST(visible AS DOUBLE) >= 0.3 AND visible >= 2""")
 def vote_scores(spark: SparkSession, d: str) -> DataFrame:
+    view = ["l_suppkey % 10 AS obj", "l_linenumber AS view", "cast(l_orderkey % 64 AS int) AS px", "cast(l_partkey % 64 AS int) AS py"]
     li = read(spark, d, "lineitem")
-    hit = li.filter("l_discount >= 0.05").groupBy("l_partkey", F.col("l_linestatus").alias("role")).agg(F.count("*").alias("votes"))
-    seen = li.groupBy("l_partkey").agg(F.count("*").alias("visible"))
-    return votes.fuse(votes.scores(hit.join(seen, "l_partkey")), 0.3, 2).withColumn("score", F.round("score", 9))
+    p = li.selectExpr(*view, "l_partkey % 500 AS point").distinct()
+    m = li.filter("l_linenumber <> 4").selectExpr(*view, "CASE l_linestatus WHEN 'O' THEN 'hook' ELSE 'gripper' END AS executor", "CASE WHEN l_discount >= 0.05 THEN 1D ELSE 0.25D END AS value").distinct()
+    return votes.fuse(votes.mask_votes(p, m, ["obj"], ["view"], "point"), 0.3, 2).withColumn("score", F.round("score", 9))
 
 
 @query(f"""WITH v AS ({_LINE_VOTES}) SELECT l_suppkey, l_partkey AS candidate_id, selected, uncertain, round(mean_confidence, 9) AS mean_confidence,
@@ -271,7 +278,7 @@ def plan_most_common(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FAMILY = f"({[*c.HOOK_FAMILIES[:6], *c.SMOOTH_FAMILIES]!r})[CAST(p_partkey % 12 AS INTEGER) + 1]"
-_CAND = f"""k AS (SELECT p_partkey, e.executor, e.channel, (['pick_up', 'lift_carry', 'open_pull', 'press_push'])[p_size % 4 + 1] AS task, {_FAMILY} AS family, p_partkey % 4 AS sv, p_partkey % 3 AS uv, p_size / 50.0 AS frac, p_size / 60.0 AS ext
+_CAND = f"""k AS (SELECT p_partkey, e.executor, e.channel, (['pick_up', 'lift_carry', 'open_pull', 'press_push'])[p_size % 4 + 1] AS task, {_FAMILY} AS family, p_partkey % 4 AS sv, p_partkey % 3 AS uv, p_size / 50.0 AS frac, p_size / 60.0 AS ext, (p_partkey % 5) * 0.01e0 AS thin
 FROM part CROSS JOIN (SELECT unnest({c.EXECUTORS!r}) AS executor, unnest([0, 1, 2, 3]) AS channel) e)"""
 _H, _S = f"family IN {_in(c.HOOK_FAMILIES)}", f"family IN {_in(c.SMOOTH_FAMILIES)}"
 _SCORE = f"""(0.0 + CASE WHEN (p_partkey + channel) % 2 = 0 THEN 0.25 ELSE 0.0 END + CASE WHEN sv >= 2 THEN 0.40 ELSE 0.0 END + CASE WHEN sv < 2 AND uv > 0 THEN 0.10 ELSE 0.0 END) +
@@ -281,8 +288,10 @@ _SCORE = f"""(0.0 + CASE WHEN (p_partkey + channel) % 2 = 0 THEN 0.25 ELSE 0.0 E
 + CASE WHEN executor = 'dexterous_hand' AND family IN ('smooth_surface', 'smooth_extreme_patch') AND task <> 'press_push' THEN -0.20 ELSE 0.0 END
 + CASE WHEN task = 'press_push' AND executor = 'dexterous_hand' AND family IN {_in(c.PRESS_FAMILIES)} THEN 0.18 ELSE 0.0 END + CASE WHEN task IN ('open_pull', 'lift_carry') AND executor = 'hook' AND {_H} THEN 0.12 ELSE 0.0 END) +
 (0.0 + CASE WHEN frac > 0.45 AND executor IN ('hook', 'gripper') THEN -0.35 ELSE 0.0 END + CASE WHEN frac > 0.45 AND executor = 'suction' THEN -0.10 ELSE 0.0 END + CASE WHEN executor = 'hook' AND ext > 0.65 AND frac > 0.18 THEN -0.25 ELSE 0.0 END
-+ CASE WHEN executor = 'suction' AND (0.01 < 0.02) THEN -0.30 ELSE 0.0 END)"""
-_DECIDED = f"s AS (SELECT *, round({_SCORE}, 4) AS rule_score FROM k), r AS (SELECT *, CASE WHEN rule_score >= 0.55 THEN 'accept_candidate' WHEN rule_score >= 0.25 THEN 'uncertain' ELSE 'reject_candidate' END AS decision FROM s)"
++ CASE WHEN executor = 'suction' AND (least(ext, thin) < 0.02 OR frac < 0.02) THEN -0.30 ELSE 0.0 END)"""
+# doubles, as the operator adds them: sums of decimals would be exact
+_SCORE = re.sub(r"(\d\.\d+)", r"\1e0", _SCORE)
+_DECIDED = f"s AS (SELECT *, {_SCORE} AS total FROM k), r AS (SELECT *, round(total, 4) AS rule_score, CASE WHEN total >= 0.55e0 THEN 'accept_candidate' WHEN total >= 0.25e0 THEN 'uncertain' ELSE 'reject_candidate' END AS decision FROM s)"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -292,21 +301,20 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     d2 = p.select(
         "p_partkey", "executor", pick(c.TASKS, F.col("p_size") % 4).alias("task"), pick([*c.HOOK_FAMILIES[:6], *c.SMOOTH_FAMILIES], k % 12).alias("candidate_family"),
         F.when((k + F.col("channel")) % 2 == 0, F.array("executor")).otherwise(F.array().cast("array<string>")).alias("recommended_executors"), (k % 4).alias("selected_votes"), (k % 3).alias("uncertain_votes"),
-        (F.col("p_size") / 50.0).alias("point_fraction"), F.array(F.lit(0.01), F.col("p_size") / 60.0).alias("bbox_extent_ratio"), F.lit("").alias("source"), F.lit("").alias("provenance"),
+        (F.col("p_size") / 50.0).alias("point_fraction"), F.array((k % 5) * F.lit(0.01), F.col("p_size") / 60.0).alias("bbox_extent_ratio"), F.lit("").alias("source"), F.lit("").alias("provenance"),
     )
     return rules.score_candidates(d2, 2)
 
 
-# the decision is taken from the sum rounded to 4 places: sums of decimals in SQL are exact, those of doubles are not
-@query(f"WITH {_CAND}, {_DECIDED} SELECT p_partkey, executor, CAST(rule_score AS DOUBLE) AS rule_score FROM r")
+@query(f"WITH {_CAND}, {_DECIDED} SELECT p_partkey, executor, CAST(rule_score AS DOUBLE) AS rule_score, decision FROM r")
 def rule_score_decision(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("p_partkey", "executor", "rule_score")
+    return _scored(spark, d).select("p_partkey", "executor", "rule_score", "decision")
 
 
-@query(f"""WITH {_CAND}, {_DECIDED}, g AS (SELECT p_partkey, executor, CASE WHEN p_partkey % 5 = 0 THEN 'reject_candidate' WHEN sv >= 2 THEN decision WHEN decision = 'accept_candidate' AND (sv > 0 OR uv > 0) THEN 'uncertain' WHEN decision = 'accept_candidate' THEN 'reject_candidate' ELSE decision END AS gated, decision FROM r WHERE abs(rule_score - 0.55) > 1e-6 AND abs(rule_score - 0.25) > 1e-6)
+@query(f"""WITH {_CAND}, {_DECIDED}, g AS (SELECT p_partkey, executor, CASE WHEN p_partkey % 5 = 0 THEN 'reject_candidate' WHEN sv >= 2 THEN decision WHEN decision = 'accept_candidate' AND (sv > 0 OR uv > 0) THEN 'uncertain' WHEN decision = 'accept_candidate' THEN 'reject_candidate' ELSE decision END AS gated, decision FROM r)
 SELECT decision, gated, count(*) AS n FROM g GROUP BY ALL""")
 def acceptance_gate(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d).filter("abs(rule_score - 0.55) > 1e-6 AND abs(rule_score - 0.25) > 1e-6")
+    s = _scored(spark, d)
     gated = rules.acceptance_gate(F.col("decision"), F.lit(True), F.col("p_partkey") % 5 != 0, F.col("selected_votes"), F.col("uncertain_votes"), 2)
     return s.select("decision", gated.alias("gated")).groupBy("decision", "gated").agg(F.count("*").alias("n"))
 
@@ -447,18 +455,24 @@ _PIX = f"""v AS (SELECT obj, point, x AS u, y AS v, z AS depth FROM p), b AS (SE
 pix AS (SELECT obj, point, depth, CAST(round_even((0.08 + 0.84 * (u - u0) / (u1 - u0)) * CAST(63 AS DOUBLE), 0) AS INTEGER) AS px, CAST(round_even((1 - (0.08 + 0.84 * (v - v0) / (v1 - v0))) * CAST(63 AS DOUBLE), 0) AS INTEGER) AS py FROM v JOIN b USING (obj))"""
 
 
-@query(f"WITH {_CLOUDS}, {_PIX} SELECT obj, py, px, point, round(depth, 9) AS depth FROM pix QUALIFY row_number() OVER (PARTITION BY obj, py, px ORDER BY depth DESC, point) = 1")
+_VIEWS = ["front", "yaw045_elev20", "top"]
+_TURNS = ", ".join("(" + ", ".join([f"'{n}'", *(f"{x!r}::DOUBLE" for x in raster.view_matrix(n))]) + ")" for n in _VIEWS)
+
+
+@query(f"""WITH {_CLOUDS}, t(view, r0, r1, r2, r3, r4, r5, r6, r7, r8) AS (VALUES {_TURNS}), v AS (SELECT obj, point, view, x*r0+y*r1+z*r2 AS u, x*r3+y*r4+z*r5 AS v, x*r6+y*r7+z*r8 AS depth FROM p, t),
+b AS (SELECT obj, view, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM v GROUP BY ALL), o AS (SELECT * FROM (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS o(dx, dy)),
+pix AS (SELECT obj, view, point, depth, dx + CAST(round_even((CAST(0.08 AS DOUBLE) + CAST(0.84 AS DOUBLE) * (u - u0) / (u1 - u0)) * CAST(63 AS DOUBLE), 0) AS INTEGER) AS px, dy + CAST(round_even((1 - (CAST(0.08 AS DOUBLE) + CAST(0.84 AS DOUBLE) * (v - v0) / (v1 - v0))) * CAST(63 AS DOUBLE), 0) AS INTEGER) AS py FROM v JOIN b USING (obj, view), o)
+SELECT obj, view, py, px, point, round(depth, 9) AS depth FROM pix WHERE px BETWEEN 0 AND 63 AND py BETWEEN 0 AND 63 QUALIFY row_number() OVER (PARTITION BY obj, view, py, px ORDER BY depth DESC, point) = 1""")
 def zbuffer_project(spark: SparkSession, d: str) -> DataFrame:
-    v = raster.project(clouds(spark, d), raster.views(spark, ["front"]), "obj", "point", 64)
-    return _rounded(v.drop("view"), ["depth"])
+    return _rounded(raster.project(clouds(spark, d), raster.views(spark, _VIEWS), "obj", "point", 64, 1), ["depth"])
 
 
-_SPOTS = "t AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS view, CAST(l_partkey % 64 AS INTEGER) AS px, CAST(l_orderkey % 64 AS INTEGER) AS py FROM lineitem WHERE l_quantity > 45)"
+_SPOTS = "t AS (SELECT DISTINCT CAST(l_suppkey % 20 AS BIGINT) AS view, CAST(l_partkey % 64 AS INTEGER) AS px, CAST(l_orderkey % 64 AS INTEGER) AS py FROM lineitem)"
 _DISC = "o AS (SELECT dx, dy FROM (SELECT unnest(range(-2, 3)) AS dx), (SELECT unnest(range(-2, 3)) AS dy) WHERE dx*dx+dy*dy <= 4)"
 
 
-def _spots(spark: SparkSession, d: str, rows: str = "l_quantity > 45") -> DataFrame:
-    return read(spark, d, "lineitem").filter(rows).select((F.col("l_suppkey") % 20).alias("view"), (F.col("l_partkey") % 64).cast("int").alias("px"), (F.col("l_orderkey") % 64).cast("int").alias("py")).distinct()
+def _spots(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("view"), (F.col("l_partkey") % 64).cast("int").alias("px"), (F.col("l_orderkey") % 64).cast("int").alias("py")).distinct()
 
 
 @query(f"WITH {_SPOTS}, {_DISC} SELECT DISTINCT view, CAST(px + dx AS INTEGER) AS px, CAST(py + dy AS INTEGER) AS py FROM t, o WHERE px + dx BETWEEN 0 AND 63 AND py + dy BETWEEN 0 AND 63")
@@ -471,28 +485,20 @@ def view_components(spark: SparkSession, d: str) -> DataFrame:
     return raster.component_boxes(raster.components_2d(_spots(spark, d), ["view"]), ["view"])
 
 
-_REGIONS = "r AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS region, CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role, l_partkey % 40 AS x1, l_orderkey % 40 AS y1, l_partkey % 40 + 12 AS x2, l_orderkey % 40 + 9 AS y2 FROM lineitem WHERE l_quantity = 1)"
+_REGIONS = "r AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS region, CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role, l_partkey % 40 AS x1, l_orderkey % 40 AS y1, l_partkey % 40 + 12 AS x2, l_orderkey % 40 + 9 AS y2 FROM lineitem)"
 
 
 @query(f"WITH {_SPOTS}, {_REGIONS}, h AS (SELECT view, px, py, role, count(DISTINCT (region, x1, y1)) AS votes FROM t JOIN r USING (view) WHERE px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 GROUP BY ALL) SELECT view, role, count(*) AS hit_pixels, CAST(sum(votes) AS BIGINT) AS votes FROM h GROUP BY ALL")
 def box_range_votes(spark: SparkSession, d: str) -> DataFrame:
-    return _box_range_votes(spark, d, "l_quantity > 45", "l_quantity = 1")
-
-
-def _box_range_votes(spark: SparkSession, d: str, spots: str, rows: str) -> DataFrame:
-    r = read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS region", "CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role", "l_partkey % 40 AS x1", "l_orderkey % 40 AS y1", "l_partkey % 40 + 12 AS x2", "l_orderkey % 40 + 9 AS y2").distinct()
-    h = joins.in_boxes(_spots(spark, d, spots), r, ["view"]).groupBy("view", "px", "py", "role").agg(F.countDistinct("region", "x1", "y1").alias("votes"))
+    r = read(spark, d, "lineitem").selectExpr("l_suppkey % 20 AS view", "l_orderkey AS region", "CASE WHEN l_returnflag = 'A' THEN 'reject' ELSE 'target' END AS role", "l_partkey % 40 AS x1", "l_orderkey % 40 AS y1", "l_partkey % 40 + 12 AS x2", "l_orderkey % 40 + 9 AS y2").distinct()
+    h = joins.in_boxes(_spots(spark, d), r, ["view"]).groupBy("view", "px", "py", "role").agg(F.count("*").alias("votes"))  # regions are distinct, so each row is a vote
     return h.groupBy("view", "role").agg(F.count("*").alias("hit_pixels"), F.sum("votes").alias("votes"))
 
 
-@query(f"WITH {_SPOTS}, q AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS id, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem WHERE l_quantity = 2), m AS (SELECT view, id, x, y, px, py, (px-x)*(px-x)+(py-y)*(py-y) AS d2 FROM q JOIN t USING (view) WHERE (px-x)*(px-x)+(py-y)*(py-y) <= 36) SELECT view, id, px, py, d2 FROM m QUALIFY row_number() OVER (PARTITION BY view, id ORDER BY d2, py, px) = 1")
+@query(f"WITH {_SPOTS}, q AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey * 10 + l_linenumber AS id, l_partkey % 64 AS x, l_suppkey % 64 AS y FROM lineitem), m AS (SELECT view, id, x, y, px, py, (px-x)*(px-x)+(py-y)*(py-y) AS d2 FROM q JOIN t USING (view) WHERE (px-x)*(px-x)+(py-y)*(py-y) <= 36) SELECT view, id, px, py, d2 FROM m QUALIFY row_number() OVER (PARTITION BY view, id ORDER BY d2, py, px) = 1")
 def nearest_snap(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest_snap(spark, d, "l_quantity > 45", "l_quantity = 2")
-
-
-def _nearest_snap(spark: SparkSession, d: str, spots: str, rows: str) -> DataFrame:
-    q = read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 64 AS x", "l_suppkey % 64 AS y").distinct()
-    return joins.snap(q, _spots(spark, d, spots), ["view"], "id", 6)
+    q = read(spark, d, "lineitem").selectExpr("l_suppkey % 20 AS view", "l_orderkey * 10 + l_linenumber AS id", "l_partkey % 64 AS x", "l_suppkey % 64 AS y").distinct()
+    return joins.snap(q, _spots(spark, d), ["view"], "id", 6)
 
 
 @query(f"WITH {_SPOTS}, n AS (SELECT view, py, count(*) AS n FROM t GROUP BY ALL), f AS (SELECT view, max(n) AS most FROM n GROUP BY view) SELECT view, min(py) AS body_top FROM n JOIN f USING (view) WHERE n >= greatest(2, round_even(CAST(most AS DOUBLE) * CAST(0.18 AS DOUBLE), 0)) GROUP BY view")
@@ -515,24 +521,17 @@ def grouped_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 100 AS DOUBLE) + 0.5 AS a, CAST(l_suppkey % 80 AS DOUBLE) AS b, CAST(l_orderkey % 90 AS DOUBLE) AS c, CAST(l_quantity AS DOUBLE) + 30.5 AS d FROM lineitem),
 n AS (SELECT l_orderkey, l_linenumber, CAST(least(greatest(round_even(a, 0), 0), 63) AS INTEGER) AS a, CAST(least(greatest(round_even(b, 0), 0), 47) AS INTEGER) AS b, CAST(least(greatest(round_even(c, 0), 0), 63) AS INTEGER) AS c, CAST(least(greatest(round_even(d, 0), 0), 47) AS INTEGER) AS d FROM b)
-SELECT l_orderkey, l_linenumber, least(a, c) AS x1, least(b, d) AS y1, greatest(a, c) AS x2, greatest(b, d) AS y2 FROM n WHERE l_linenumber = 1 AND a <> c AND b <> d""")
+SELECT l_orderkey, l_linenumber, least(a, c) AS x1, least(b, d) AS y1, greatest(a, c) AS x2, greatest(b, d) AS y2 FROM n WHERE a <> c AND b <> d""")
 def box_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return _box_normalize(read(spark, d, "lineitem").filter("l_linenumber = 1"))
-
-
-def _box_normalize(li: DataFrame) -> DataFrame:
+    li = read(spark, d, "lineitem")
     box = F.array((F.col("l_partkey") % 100).cast("double") + 0.5, (F.col("l_suppkey") % 80).cast("double"), (F.col("l_orderkey") % 90).cast("double"), F.col("l_quantity") + 30.5)
     n = li.select("l_orderkey", "l_linenumber", boxes.normalize_box(box, F.lit(64), F.lit(48)).alias("b")).filter("b IS NOT NULL")
     return n.select("l_orderkey", "l_linenumber", *[F.col("b")[i].alias(k) for i, k in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query("""WITH i AS (SELECT vec_id AS i FROM embeddings WHERE vec_id < 700) SELECT i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(65 + i // 26 - 1 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END AS label, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE 'C' || (i + 1) END AS numbered FROM i""")
+@query("""WITH i AS (SELECT vec_id AS i FROM embeddings) SELECT i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE chr(CAST(65 + i // 26 - 1 AS INTEGER)) || chr(CAST(65 + i % 26 AS INTEGER)) END AS label, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INTEGER)) ELSE 'C' || (i + 1) END AS numbered FROM i""")
 def candidate_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate_labels(read(spark, d, "embeddings").filter("vec_id < 700"))
-
-
-def _candidate_labels(e: DataFrame) -> DataFrame:
-    i = e.select(F.col("vec_id").alias("i"))
+    i = read(spark, d, "embeddings").select(F.col("vec_id").alias("i"))
     return i.select("i", text.candidate_label(F.col("i")).alias("label"), text.candidate_label_numbered(F.col("i")).alias("numbered"))
 
 
@@ -544,8 +543,8 @@ def standard_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def high_recall_candidates(spark: SparkSession, d: str) -> DataFrame:
-    made = candidates.generate(clouds(spark, d), "obj", "point", "high_recall", candidates.Settings(overlap=0.985))
-    return candidates.rank_high_recall(made, "obj", 3, 36).drop("points", "extent")
+    made = candidates.generate(clouds(spark, d), "obj", "point", "high_recall")
+    return candidates.rank_high_recall(made, "obj").drop("points", "extent")
 
 
 @query()
@@ -602,22 +601,18 @@ def gated_union(spark: SparkSession, d: str) -> DataFrame:
     return geometry.area_gate(s, ["obj", "item"], t, ["obj"], 5, 0.05, 0.3).groupBy("obj").agg(F.countDistinct("point").alias("n_points"))
 
 
-_BOXES = "b AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey AS id, l_partkey % 50 AS x1, l_suppkey % 50 AS y1, l_partkey % 50 + 8 AS x2, l_suppkey % 50 + 8 AS y2 FROM lineitem WHERE l_quantity = 3)"
+_BOXES = "b AS (SELECT DISTINCT l_suppkey % 20 AS view, l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS x1, l_suppkey % 50 AS y1, l_partkey % 50 + 8 AS x2, l_suppkey % 50 + 8 AS y2 FROM lineitem)"
 
 
-def _boxes(spark: SparkSession, d: str, rows: str = "l_quantity = 3") -> DataFrame:
-    return read(spark, d, "lineitem").filter(rows).selectExpr("l_suppkey % 20 AS view", "l_orderkey AS id", "l_partkey % 50 AS x1", "l_suppkey % 50 AS y1", "l_partkey % 50 + 8 AS x2", "l_suppkey % 50 + 8 AS y2").distinct()
+def _boxes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").selectExpr("l_suppkey % 20 AS view", "l_orderkey * 10 + l_linenumber AS id", "l_partkey % 50 AS x1", "l_suppkey % 50 AS y1", "l_partkey % 50 + 8 AS x2", "l_suppkey % 50 + 8 AS y2").distinct()
 
 
 @query(f"""WITH {_SPOTS}, {_BOXES}, g AS (SELECT view, id, x1, y1, x2, y2, min(px) FILTER (i) AS a1, min(py) FILTER (i) AS b1, max(px) FILTER (i) AS a2, max(py) FILTER (i) AS b2, min(px) FILTER (n) AS c1, min(py) FILTER (n) AS d1, max(px) FILTER (n) AS c2, max(py) FILTER (n) AS d2
 FROM (SELECT b.*, px, py, px BETWEEN x1 AND x2 AND py BETWEEN y1 AND y2 AS i, abs(px - (x1 + x2) / 2.0) <= 12 AND abs(py - (y1 + y2) / 2.0) <= 12 AS n FROM b LEFT JOIN t USING (view)) GROUP BY view, id, x1, y1, x2, y2)
 SELECT view, id, CAST(coalesce(a1, c1, x1) AS BIGINT) AS x1, CAST(coalesce(b1, d1, y1) AS BIGINT) AS y1, CAST(coalesce(a2, c2, x2) AS BIGINT) AS x2, CAST(coalesce(b2, d2, y2) AS BIGINT) AS y2 FROM g""")
 def box_tighten(spark: SparkSession, d: str) -> DataFrame:
-    return _box_tighten(_boxes(spark, d), _spots(spark, d))
-
-
-def _box_tighten(b: DataFrame, spots: DataFrame) -> DataFrame:
-    t = joins.tighten(b, spots, ["view"], "id", 12)
+    t = joins.tighten(_boxes(spark, d), _spots(spark, d), ["view"], "id", 12)
     return t.select("view", "id", *[F.col(k).cast("long").alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
@@ -627,8 +622,9 @@ def union_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS sample_id, (['train', 'val', 'test'])[CAST(doc_id % 3 AS INTEGER) + 1] AS meant FROM documents), f AS (SELECT CAST(doc_id + 5 AS VARCHAR) AS sample_id, (['train', 'val', 'test'])[CAST((doc_id + quality) % 3 AS INTEGER) + 1] AS split FROM labels UNION ALL SELECT CAST(doc_id AS VARCHAR), 'train' FROM labels WHERE doc_id % 4 = 0),
-s AS (SELECT sample_id, count(DISTINCT split) AS k, count(*) AS n, min(split) AS split FROM f GROUP BY sample_id)
-SELECT * FROM (SELECT 'ERROR' AS level, sample_id, CASE WHEN n IS NULL THEN 'missing from split file' WHEN meant IS NULL THEN 'not in metadata' WHEN k > 1 THEN 'in two splits' WHEN n > 1 THEN 'doubled in split file' WHEN split <> meant THEN 'in another split''s file' END AS message FROM m FULL JOIN s USING (sample_id)) WHERE message IS NOT NULL""")
+s AS (SELECT sample_id, count(DISTINCT split) AS k, count(*) AS n, min(split) AS split FROM f GROUP BY sample_id),
+j AS (SELECT * FROM m FULL JOIN s USING (sample_id)) SELECT 'ERROR' AS level, sample_id, 'missing from split file' AS message FROM j WHERE n IS NULL UNION ALL SELECT 'ERROR', sample_id, 'not in metadata' FROM j WHERE meant IS NULL UNION ALL SELECT 'ERROR', sample_id, 'in two splits' FROM j WHERE k > 1
+UNION ALL SELECT 'ERROR', sample_id, 'doubled in split file' FROM j WHERE n > k UNION ALL SELECT 'ERROR', sample_id, 'in another split''s file' FROM j WHERE k = 1 AND split <> meant""")
 def split_file_issues(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda i: F.element_at(F.array(*[F.lit(v) for v in ("train", "val", "test")]), (i % 3).cast("int") + 1)
     k = F.col("doc_id")
@@ -641,15 +637,15 @@ def split_file_issues(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def unfinished_work(spark: SparkSession, d: str) -> DataFrame:
     done = read(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return read(spark, d, "orders").select("o_orderkey").join(done.distinct(), "o_orderkey", "left_anti")
+    return audit.unfinished(read(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
 @query("""WITH w AS (SELECT l_partkey AS id, 'f' || l_suppkey AS path, l_linenumber AS rank FROM lineitem), e AS (SELECT DISTINCT 'f' || s_suppkey AS path FROM supplier WHERE s_suppkey % 3 <> 0)
-SELECT id, min(rank) AS rank FROM w SEMI JOIN e USING (path) GROUP BY id""")
+SELECT id, rank, min(path) AS path FROM w SEMI JOIN e USING (path) WHERE (id, rank) IN (SELECT (id, min(rank)) FROM w SEMI JOIN e USING (path) GROUP BY id) GROUP BY id, rank""")
 def first_path(spark: SparkSession, d: str) -> DataFrame:
     w = read(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("path"), F.col("l_linenumber").alias("rank"))
     e = read(spark, d, "supplier").filter("s_suppkey % 3 <> 0").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("path"))
-    return joins.first_present(w, e, "id", "path", "rank").select("id", "rank")
+    return joins.first_present(w, e, "id", "path", "rank")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, least(1.0::DOUBLE, greatest(0.0::DOUBLE, coalesce(try_cast(CASE WHEN event_id % 5 = 0 THEN 'none' ELSE CAST(value AS VARCHAR) END AS DOUBLE), 0.0))) AS confidence FROM events""")
@@ -668,50 +664,3 @@ def category_priors(spark: SparkSession, d: str) -> DataFrame:
 def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").select("event_type", F.col("ts"))
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select("event_type", F.col("w.start").alias("start"), "n")
-
-
-# ---- the queries above whose SQL states row subsets, over all rows of their tables
-
-@query()
-def box_range_votes_all(spark: SparkSession, d: str) -> DataFrame:
-    return _box_range_votes(spark, d, "true", "true")
-
-
-@query()
-def nearest_snap_all(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest_snap(spark, d, "true", "true")
-
-
-@query()
-def box_tighten_all(spark: SparkSession, d: str) -> DataFrame:
-    return _box_tighten(_boxes(spark, d, "true"), _spots(spark, d, "true"))
-
-
-@query()
-def box_normalize_all(spark: SparkSession, d: str) -> DataFrame:
-    return _box_normalize(read(spark, d, "lineitem"))
-
-
-@query()
-def candidate_labels_all(spark: SparkSession, d: str) -> DataFrame:
-    return _candidate_labels(read(spark, d, "embeddings"))
-
-
-@query()
-def disc_dilate_all(spark: SparkSession, d: str) -> DataFrame:
-    return raster.dilate(_spots(spark, d, "true"), ["view"], 2, 64)
-
-
-@query()
-def view_components_all(spark: SparkSession, d: str) -> DataFrame:
-    return raster.component_boxes(raster.components_2d(_spots(spark, d, "true"), ["view"]), ["view"])
-
-
-@query()
-def body_top_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    return raster.body_top(_spots(spark, d, "true"), ["view"], 0.18, 2)
-
-
-@query()
-def union_boxes_all(spark: SparkSession, d: str) -> DataFrame:
-    return raster.union_box(_spots(spark, d, "true"), ["view"], 3, 64)

@@ -74,7 +74,7 @@ def run(points: DataFrame, pilots: DataFrame, selector: Predictor, base_masks: D
 
     ``selector`` answers (pilot_id, candidate_id) with kind and confidence rows.
     """
-    made = candidates.rank_high_recall(candidates.generate(points, "object_id", "point_idx", kind), "object_id", 3, 36)
+    made = candidates.rank_high_recall(candidates.generate(points, "object_id", "point_idx", kind), "object_id")
     d = pilots.join(made, "object_id")
     answers = selector(d.select("pilot_id", "candidate_id")).filter("kind IS NOT NULL")
     counted = votes.candidate_votes(answers, ["pilot_id"])
@@ -85,7 +85,6 @@ def run(points: DataFrame, pilots: DataFrame, selector: Predictor, base_masks: D
         F.coalesce("selected", F.lit(0)).alias("selected_votes"), F.coalesce("uncertain", F.lit(0)).alias("uncertain_votes"), F.coalesce("ran", F.lit(False)).alias("selection_ran"),
     )
     scored = rules.score_candidates(scored, least_votes)
-    gate = rules.acceptance_gate(F.col("decision"), F.col("selection_ran"), F.lit(None).cast("boolean"), F.col("selected_votes"), F.col("uncertain_votes"), least_votes)
-    scored = rules.row_gate(scored.withColumn("decision", gate), ["pilot_id"])
+    scored = rules.row_gate(scored.withColumn("shown", F.lit(None).cast("boolean")), ["pilot_id"], least_votes).drop("shown")
     new = scored.filter("decision = 'accept_candidate'").select("pilot_id", "executor", F.explode("points").alias("point_idx")).distinct()
     return {"candidates": made, "scored": scored, "masks": rules.overwrite_channel(base_masks, new, ["pilot_id"], "point_idx")}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -32,9 +32,16 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: StructType | str)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 1), value. A file is one row while it is cut, as line numbers need it whole."""
-    d = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    return d.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("pos", "value")).select("file", (F.col("pos") + 1).alias("line_no"), "value")
+    """file, line_no (from 1), value.
+
+    Files are read by splits. A split's lines are numbered by themselves; the
+    splits' line counts, one row a split, are summed up in file order and added.
+    """
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = d.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return d.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), "value")
 
 
 def read_jsonl_checked(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -110,25 +117,28 @@ def filled_type(name: str) -> str:
     return "map<string,boolean>" if name == "feasibility" else "map<string,string>"
 
 
-def _array(data: bytes, path: str, key: str | None) -> np.ndarray:
+def _array(data: bytes, path: str, key: str | None, delimiter: str | None = None, skip_rows: int = 0) -> np.ndarray:
     if path.endswith(".npz"):
         with np.load(io.BytesIO(data), allow_pickle=False) as z:
             a = z[key or z.files[0]]
     elif path.endswith(".npy"):
         a = np.load(io.BytesIO(data), allow_pickle=False)
     else:
-        sep = "," if path.endswith(".csv") else None
-        a = np.loadtxt(io.StringIO(data.decode()), delimiter=sep, ndmin=2)
+        sep = delimiter or ("," if path.endswith(".csv") else None)
+        a = np.loadtxt(io.StringIO(data.decode()), delimiter=sep, skiprows=skip_rows, ndmin=2)
     return a.reshape(1, -1) if a.ndim == 1 else a
 
 
-def read_arrays(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    """path, row, values: rows of 2-D arrays in npy, npz, xyz, pts, txt or csv files. Nothing is unpickled."""
+def read_arrays(spark: SparkSession, path: str, key: str | None = None, delimiter: str | None = None, skip_rows: int = 0) -> DataFrame:
+    """path, row, values: rows of 2-D arrays in npy, npz, xyz, pts, txt or csv files. Nothing is unpickled.
+
+    ``delimiter`` and ``skip_rows`` are for the text kinds.
+    """
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for p, data in zip(f["path"], f["content"], strict=True):
-                a = _array(bytes(data), p, key)
+                a = _array(bytes(data), p, key, delimiter, skip_rows)
                 if a.ndim != 2 or a.dtype.kind not in "iufb":
                     raise ValueError(f"{p}: not a 2-D array of numbers")
                 yield pd.DataFrame({"path": p, "row": np.arange(len(a), dtype=np.int32), "values": list(a.astype(np.float64))})
@@ -153,6 +163,13 @@ def masks_of(arrays: DataFrame) -> DataFrame:
     return d.filter("value > 0").select("path", "point_idx", F.get(names, F.col("k")).alias("executor"))
 
 
+def masks_of_length(arrays: DataFrame, counts: DataFrame) -> DataFrame:
+    """``masks_of`` arrays that have as many rows as ``counts`` (path, n_points) says; another length is an error."""
+    n = arrays.groupBy("path").agg(F.count("*").alias("__n")).join(counts, "path")
+    bad = F.when(F.col("__n") != F.col("n_points"), F.raise_error(F.concat(F.lit("mask and points differ in length: "), "path")).cast("boolean")).otherwise(F.lit(True))
+    return masks_of(arrays.join(n.filter(bad).select("path"), "path", "left_semi"))
+
+
 def mask_from_indices(spec: DataFrame, key: str, n: str) -> DataFrame:
     """key, point_idx of index lists; an index out of range fails."""
     d = spec.select(key, n, F.explode("indices").alias("point_idx"))

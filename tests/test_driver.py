@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.plans import driver
+from pointloom.plans import driver, more  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -46,11 +46,11 @@ def test_entry(spark):
 
 
 def test_whole_tables(spark, tmp_path):
-    """Queries over all rows against brute force, on a table whose rows the subsets leave out for the most part."""
+    """Raster queries against brute force, on part of a table and labels beyond two letters."""
     li = pd.read_parquet(DATA / "lineitem.parquet").head(400)
     li.to_parquet(tmp_path / "lineitem.parquet", index=False)
     pd.DataFrame({"vec_id": [0, 25, 26, 701, 702, 1999]}).to_parquet(tmp_path / "embeddings.parquet", index=False)
-    got = {n: [tuple(r) for r in driver.QUERIES[n + "_all"](spark, str(tmp_path)).collect()] for n in ("box_range_votes", "nearest_snap", "box_tighten", "box_normalize", "candidate_labels", "disc_dilate", "union_boxes", "body_top_rows", "view_components")}
+    got = {n: [tuple(r) for r in driver.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("box_range_votes", "nearest_snap", "box_tighten", "box_normalize", "candidate_labels", "disc_dilate", "union_boxes", "body_top_rows", "view_components")}
     k = [tuple(int(v) for v in t[:4]) + (float(t[4]), t[5]) for t in li[["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]].itertuples(index=False, name=None)]
     spots = {}
     for o, p, s, *_ in k:
@@ -64,15 +64,15 @@ def test_whole_tables(spark, tmp_path):
     assert sorted(got["box_range_votes"]) == sorted((v, r, len(h), sum(map(len, h.values()))) for (v, r), h in votes.items())
 
     best = {}
-    for o, p, s, *_ in k:
+    for o, p, s, n, *_ in k:
         for px, py in spots[s % 20]:
             d2 = (px - p % 64) ** 2 + (py - s % 64) ** 2
             if d2 <= 36:
-                best[s % 20, o] = min(best.get((s % 20, o), (99,)), (d2, py, px))
+                best[s % 20, o * 10 + n] = min(best.get((s % 20, o * 10 + n), (99,)), (d2, py, px))
     assert sorted(got["nearest_snap"]) == sorted((v, o, px, py, d2) for (v, o), (d2, py, px) in best.items())
 
     tight = []
-    for v, o, x, y in {(s % 20, o, p % 50, s % 50) for o, p, s, *_ in k}:
+    for v, o, x, y in {(s % 20, o * 10 + n, p % 50, s % 50) for o, p, s, n, *_ in k}:
         inside = [(a, b) for a, b in spots[v] if x <= a <= x + 8 and y <= b <= y + 8]
         near = [(a, b) for a, b in spots[v] if abs(a - x - 4) <= 12 and abs(b - y - 4) <= 12]
         use = inside or near or [(x, y), (x + 8, y + 8)]
@@ -98,3 +98,57 @@ def test_whole_tables(spark, tmp_path):
         tops += [(v, min(rows_of))] if rows_of else []
     assert sorted(got["body_top_rows"]) == sorted(tops)
     assert {r[0] for r in got["view_components"]} == set(spots)
+
+
+def _linked(cells):
+    left, found = set(cells), []
+    while left:
+        todo = [min(left, key=lambda c: (c[1], c[0]))]
+        left -= set(todo)
+        part = set(todo)
+        while todo:
+            x, y = todo.pop()
+            near = {(x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            part |= near
+            todo += near
+        found.append(part)
+    return found
+
+
+def test_view_components(spark, tmp_path):
+    li = pd.read_parquet(DATA / "lineitem.parquet").head(900)
+    li.to_parquet(tmp_path / "lineitem.parquet", index=False)
+    views = {}
+    for o, p, s in li[["l_orderkey", "l_partkey", "l_suppkey"]].itertuples(index=False, name=None):
+        views.setdefault(s % 20, set()).add((p % 64, o % 64))
+    want = sorted((v, i, len(part), min(x for x, _ in part), min(y for _, y in part), max(x for x, _ in part), max(y for _, y in part)) for v, cells in views.items() for i, part in enumerate(_linked(cells)))
+    got = sorted((r.view, r.component, r.area, r.x1, r.y1, r.x2, r.y2) for r in driver.QUERIES["view_components"](spark, str(tmp_path)).collect())
+    assert got == want
+
+
+def test_directed_components(spark):
+    """The scan's components, by a plain walk along the nearest neighbours."""
+    e = pd.read_parquet(DATA / "embeddings.parquet")
+    want = []
+    for obj, g in e.groupby("label"):
+        p = {int(i): [float(x) for x in v[:3]] for i, v in zip(g.vec_id, g.embedding)}
+        near = {a: sorted((b for b in p if b != a), key=lambda b: (sum((x - y) ** 2 for x, y in zip(p[a], p[b])), b))[:4] for a in p}
+        seed = [a for a in sorted(p) if p[a][0] > 0]
+        taken, found = set(), []
+        for start in seed:
+            if start in taken:
+                continue
+            taken.add(start)
+            queue = [start]
+            for a in queue:
+                for b in near[a]:
+                    if b in set(seed) - taken:
+                        taken.add(b)
+                        queue.append(b)
+            if len(queue) >= 2:
+                found.append(queue)
+        found.sort(key=len, reverse=True)
+        want += [(obj, i, a) for i, q in enumerate(found) for a in q]
+    got = [(r.obj, r.component, r.point) for r in driver.QUERIES["directed_components"](spark, str(DATA)).collect()]
+    assert sorted(got) == sorted(want)
