@@ -6,9 +6,10 @@ bounded; every document is scored, in one map over the rows with the trees as
 flat arrays.
 
 Defined cases: null and empty texts have all-zero statistics and are scored
-like any other; repeated rows are scored each, and of rows with one labelled
-doc_id that with the greatest text is learned from; without labelled rows, or with labels of
-one kind only, the score is constant; other columns are not read.
+like any other; very long texts are read whole; repeated rows are scored each,
+and of rows with one labelled doc_id that with the greatest text is learned
+from; without labelled rows, or with labels of one kind only, the score is
+constant; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -433,6 +433,33 @@ def test_forest_fits_and_walks():
     assert 0.9 < gbdt.fit(x[:20], np.ones(20)).score(x[:1])[0] < 1
 
 
+def _brute_statistics(text):
+    data = text.encode()
+    words = [w for w in re.split(rb"[ \t\n\x0b\f\r]+", data) if w]
+    if not words:
+        return [0.0] * 26
+    n, size = len(words), len(data)
+    lines = [x for x in data.split(b"\n") if x.strip(b" \t\n\x0b\f\r")]
+    kind = lambda ok: sum(1 for c in data if ok(c)) / size
+    symbols, marks = b"#*$%&|<>@^~{}[]\\_=+/", b"!?.,;:'\"-()"
+    space, lower, upper, digit = (lambda c: c in b" \t\n\x0b\f\r"), (lambda c: 97 <= c < 123), (lambda c: 65 <= c < 91), (lambda c: 48 <= c < 58)
+    known = lambda c: space(c) or lower(c) or upper(c) or digit(c) or c in symbols or c in marks or c > 127
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    return [
+        n, size, len(lines), n / len(lines), size / n, math.sqrt(sum((x - mean) ** 2 for x in lengths) / n), max(lengths),
+        kind(space), kind(lower), kind(upper), kind(digit), kind(lambda c: c in symbols), kind(lambda c: c in marks), kind(lambda c: c > 127), kind(lambda c: not known(c)),
+        sum(c in symbols for c in data) / n, len(set(words)) / n, len({(a, b) for a, b in zip(words, words[1:])}) / max(1, n - 1), sum(a == b for a, b in zip(words, words[1:])) / n, len(set(lines)) / len(lines),
+        sum(w.endswith(b".") for w in words) / n, sum(w.endswith(b"!") for w in words) / n, sum(w.endswith(b",") for w in words) / n,
+        sum(any(65 <= c < 91 for c in w) and not any(97 <= c < 123 for c in w) for w in words) / n, sum(x == 1 for x in lengths) / n, sum(x > 12 for x in lengths) / n,
+    ]
+
+
+def test_statistics_by_hand(docs):
+    for t in [r["text"] or "" for r in rows(docs.select("text"))] + ["A! b. c, C# Dé\x01\n\nA! b. c, C# Dé\x01\n \n", "x x x", "\u00a0"]:
+        assert quality_model.statistics(t.encode()) == pytest.approx(_brute_statistics(t)), t[:50]
+
+
 def _marked(spark, n=600):
     good = "The {0} river runs past the old {0} mill, and people of town number {0} walk along it every single day."
     bad = "BUY {0}!! NOW{0}!! ### $$$ {0} CLICK!! ### CHEAP!! $$$ WIN{0}!! ### %%%"
