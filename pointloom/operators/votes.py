@@ -38,8 +38,8 @@ def region_votes(pixels: DataFrame, regions: DataFrame, keys: list[str], view: s
     grown = raster.dilate(inside, [*on, "region", "role"], radius, size)
     hits = grown.join(pixels, [*on, "px", "py"]).groupBy(*keys, point, "role").agg(F.count("*").alias("votes"))
     seen = pixels.groupBy(*keys, point).agg(F.count("*").alias("visible"))
-    roles = regions.select("role").distinct()
-    every = seen.join(roles).join(hits, [*keys, point, "role"], "left").na.fill(0, ["votes"])
+    roles = regions.select("role").distinct()  # a fixed handful of names
+    every = seen.join(F.broadcast(roles)).join(hits, [*keys, point, "role"], "left").na.fill(0, ["votes"])
     return scores(every)
 
 

@@ -290,3 +290,14 @@ def sample_checks(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT 'val' AS split, CAST(o_orderkey AS VARCHAR) AS sample_id FROM orders WHERE o_orderpriority IN {_in(['1-URGENT', '2-HIGH'])}")
 def all_val_splits(spark: SparkSession, d: str) -> DataFrame:
     return review.all_val(read(spark, d, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select(F.col("o_orderkey").cast("string").alias("sample_id")))
+
+
+@query("""WITH w AS (SELECT p_partkey AS pilot_id, unnest(['p' || p_partkey || '/segments.npz', 's' || p_size || '/p' || p_partkey || '.npz', 's' || p_size || '_' || p_brand || '.json']) AS path, unnest([0, 1, 2]) AS place FROM part),
+e AS (SELECT 'p' || p_partkey || '/segments.npz' AS path FROM part WHERE p_partkey % 4 = 1 UNION ALL SELECT 's' || p_size || '/p' || p_partkey || '.npz' FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT DISTINCT 's' || p_size || '_' || p_brand || '.json' FROM part)
+SELECT pilot_id, arg_min(path, place) AS path, min(place) AS place FROM w SEMI JOIN e USING (path) GROUP BY pilot_id""")
+def prediction_paths(spark: SparkSession, d: str) -> DataFrame:
+    from pointloom.sources import parts
+
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("pilot_id"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("sample_id"), F.col("p_brand").alias("task"))
+    there = p.filter("pilot_id % 4 = 1").select(F.concat("name", F.lit("/segments.npz")).alias("path")).union(p.filter("pilot_id % 3 = 0").select(F.concat("sample_id", F.lit("/"), "name", F.lit(".npz")))).union(p.select(F.concat_ws("_", "sample_id", F.concat("task", F.lit(".json")))))
+    return parts.prediction_paths(p, there, ("{name}/segments.npz", "{sample_id}/{name}.npz", "{sample_id}_{task}.json"))

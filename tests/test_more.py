@@ -250,3 +250,38 @@ def test_part_helpers(spark):
     objs = spark.createDataFrame([("a",), ("b",)], "obj string")
     fall = spark.createDataFrame([("a", 5), ("b", 6)], "obj string, x int")
     assert sorted(map(tuple, candidates.with_fallback(made, objs, fall, "obj").collect())) == [("a", 1, False), ("b", 6, True)]
+
+
+def test_parts_in_all_forms(spark, tmp_path):
+    from pointloom.sources import parts
+
+    of = lambda doc, n=4: [(a, b, c.tolist()) for a, b, c in parts.parts_of(doc, n)]
+    assert of({"masks": [[1, 0, 0, 1], [0, 1, 0, 0]], "names": ["lid"], "scores": {"1": 0.5}}) == [("lid", None, [0, 3]), ("part_01", 0.5, [1])]
+    assert of({"masks": np.array([[1, 0], [0, 1], [0, 0], [1, 0]])}) == [("part_00", None, [0, 3]), ("part_01", None, [1])]
+    assert of({"semantic": [1, 1, -1, 2], "instance": [0, 1, 0, -1]}) == [("part_00", None, [0]), ("part_01", None, [1])]
+    assert of({"labels": [5, -1], "point_indices": [3, 1]}) == [("part_00", None, [3])]
+    assert of({"parts": [{"name": "rim", "indices": [2, 0, 2], "score": 1}]}) == [("rim", 1.0, [0, 2])]
+    for bad in ({}, {"masks": [[1, 0, 1]]}, {"parts": [{"indices": [9]}]}):
+        with pytest.raises(ValueError):
+            of(bad)
+    np.savez(tmp_path / "p.npz", masks=np.array([[1, 1, 0, 0], [0, 0, 1, 1], [0, 0, 0, 1]]), names=np.array(["a", "b", "c"]), scores=np.array([0.1, 0.9, 0.9]))
+    got = parts.rank_parts(parts.read_parts(spark, str(tmp_path / "p.npz"), 4), ["path"], 1, 2).orderBy("place").collect()
+    assert [(r.name, r.points) for r in got] == [("b", [2, 3]), ("c", [3])]
+
+
+def test_archives_hold_plain_data_only(spark, tmp_path):
+    import pickle
+    import zipfile
+
+    from pointloom.sources import parts
+
+    items = [{"shape_id": "o1", "semantic class": "Mug", "full_shape": {"coordinate": np.zeros((2, 3)), "label": {"grasp": np.array([0.0, 0.7])}}}]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("ok.pkl", pickle.dumps(items))
+        z.writestr("bad.pkl", pickle.dumps([print]))
+    got = parts.read_archive(spark, str(tmp_path / "a.zip"), "ok.pkl").orderBy("point_idx").collect()
+    assert [(r.object_id, r.category, r.labels) for r in got] == [("o1", "Mug", {}), ("o1", "Mug", {"grasp": 0.7})]
+    with pytest.raises(pickle.UnpicklingError, match="not allowed"):
+        parts.read_archive(spark, str(tmp_path / "a.zip"), "bad.pkl")
+    with pytest.raises(ValueError):
+        parts.read_archive(spark, str(tmp_path / "a.zip"), "none.pkl")
