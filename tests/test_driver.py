@@ -152,3 +152,14 @@ def test_directed_components(spark):
         want += [(obj, i, a) for i, q in enumerate(found) for a in q]
     got = [(r.obj, r.component, r.point) for r in driver.QUERIES["directed_components"](spark, str(DATA)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_queries_stay_without_optional_libraries():
+    """With a library of the optional subpackage gone, the engine's queries are all there."""
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), 'op6_media' in q, set(e.oracle_sql()) <= set(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.split() == [str(len(driver.QUERIES)), "False", "True"], out.stderr[-500:]
