@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pointloom.operators import joins, windows
+
 _NAMED = {"front": (0, 0), "back": (180, 0), "left": (90, 0), "right": (-90, 0), "top": (0, 90), "bottom": (0, -90), "iso": (45, 30)}
 
 
@@ -141,8 +143,6 @@ def component_proposals(pixels: DataFrame, keys: list[str], view: str, point: st
 
 def top_components(boxes: DataFrame, keys: list[str], score: str, most: int) -> DataFrame:
     """The ``most`` best components of each view; of equal scores the first."""
-    from pointloom.operators import windows
-
     return windows.ranked(boxes, keys, [F.col(score).desc(), F.col("component")]).filter(F.col("place") <= most)
 
 
@@ -157,9 +157,8 @@ def depth_colors(pixels: DataFrame, keys: list[str]) -> DataFrame:
 def in_polygons(pixels: DataFrame, polygons: DataFrame, keys: list[str], polygon: str) -> DataFrame:
     """keys, polygon, px, py of pixels inside polygons (keys, polygon, corners: array of x, y) by the even-odd rule."""
     edge = "transform(corners, (a, i) -> struct(a.x AS x1, a.y AS y1, corners[(i + 1) % size(corners)].x AS x2, corners[(i + 1) % size(corners)].y AS y2))"
-    box = [f"array_{f}(transform(corners, a -> a.{k})) AS b{k}{n}" for f, n in (("min", 1), ("max", 2)) for k in "xy"]
-    d = pixels.join(polygons.selectExpr(*keys, polygon, f"{edge} AS edges", *box), keys)
-    d = d.filter("px BETWEEN bx1 AND bx2 AND py BETWEEN by1 AND by2")
+    box = [f"array_{f}(transform(corners, a -> a.{k})) AS {k}{n}" for f, n in (("min", 1), ("max", 2)) for k in "xy"]
+    d = joins.in_boxes(pixels, polygons.selectExpr(*keys, polygon, f"{edge} AS edges", *box), keys)
     crossed = "size(filter(edges, e -> (e.y1 > py) <> (e.y2 > py) AND px < (e.x2 - e.x1) * (py - e.y1) / (e.y2 - e.y1) + e.x1))"
     return d.filter(f"{crossed} % 2 = 1").select(*keys, polygon, "px", "py").distinct()
 

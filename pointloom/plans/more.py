@@ -171,8 +171,8 @@ _SETS = "s AS (SELECT DISTINCT l_suppkey AS obj, 'C' || l_linenumber AS candidat
 def candidate_point_scores(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("obj"), F.concat(F.lit("C"), F.col("l_linenumber").cast("string")).alias("candidate_id")).agg(F.collect_set("l_partkey").alias("points"))
     t = read(spark, d, "part").filter("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("point"), (F.col("p_size") / 50.0).alias("target_score"), F.col("p_retailprice").alias("reject_score"))
-    objs = s.select("obj").distinct().join(t)  # each object has all points of the fixture
-    got = candidates.point_scores(s, objs, ["obj"], "point")
+    seen = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("obj"), F.col("l_partkey").alias("point")).distinct().join(t, "point")
+    got = candidates.point_scores(s, seen, ["obj"], "point")
     return got.withColumn("mean_target_score", F.round("mean_target_score", 9))
 
 
