@@ -6,9 +6,8 @@ of ``BLOCK`` rows and a trigram that any rule asks for, the places in the block
 whose text holds it. ``candidates`` puts a block's lists side by side and
 intersects and unites them as the queries say; only the rows that are left meet
 their texts again and are searched with the rule's regex. A rule without
-mandatory trigrams searches every row where it stands. Nothing but the posting
-lists, the candidates and their spans is shuffled, and the candidates' texts
-where the candidates are too many to be sent to all.
+mandatory trigrams searches every row. Texts are shuffled once, to meet the
+candidates' numbers; those grow with the table, so they are never broadcast.
 
 Positions count code points, the end is exclusive. Matches of a rule are
 leftmost and do not overlap; those whose value is too short are dropped after
@@ -133,26 +132,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     """``row`` (the columns of ``docs``, or ``keep`` of them), ``t`` (its text) and ``spans``: (start, rule, end) in order of start, then rule."""
     queries = [trigrams.query(r.pattern) for r in rules]
     wanted = sorted(set().union(*map(trigrams.trigrams, queries)))
-    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
+    kept = docs.columns if keep is None else keep
+    row = F.struct(*[F.col(f"`{c}`") for c in kept])
     # the numbers of rows are written down, so each later reading sees the same ones
-    d = common.staged(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row"), common.whole_text(F.col(text_col)).alias("t")), "secret-rows")
-    asked, full = [i for i, q in enumerate(queries) if q is not True], [i for i, q in enumerate(queries) if q is True]
-    none = F.array().cast(f"array<{_SPAN}>")
-    if asked:
-        left = candidates(common.staged(index(d.select("n", "t"), wanted), "secret-postings"), queries)
-        c = d.select("n", "t").join(left, "n")
-        c = c.select("n", *[F.when(F.array_contains("rules", i) & F.col("t").rlike(rules[i].pattern), _found(rules[i], F.col("t"))).alias(f"m{i}") for i in asked])
-        c = common.sealed(c.withColumn("verified", _all_spans(rules, asked)), ["n"], ["verified"]).filter(F.size("verified") > 0)
-        c = common.staged(c, "secret-verified")
-    if full:
-        d = d.select("n", "row", "t", *[F.when(F.col("t").rlike(rules[i].pattern), _found(rules[i], F.col("t"))).alias(f"m{i}") for i in full])
-        d = common.sealed(d.withColumn("scanned", _all_spans(rules, full)), ["n", "row", "t"], ["scanned"])
+    apart = [] if text_col in kept else [F.col(text_col).alias("text")]
+    d = common.staged(docs.select(F.monotonically_increasing_id().alias("n"), row.alias("row"), *apart), "secret-rows")
+    text = common.whole_text(F.col("text") if apart else F.col(f"row.`{text_col}`"))
+    if wanted:
+        left = candidates(common.staged(index(d.select("n", text.alias("t")), wanted), "secret-postings"), queries)
+        # candidates grow with the table: their rows and the texts meet in one shuffled join at every size
+        d = d.join(left.hint("shuffle_hash"), "n", "left")
     else:
-        d = d.withColumn("scanned", none)
-    if asked:
-        d = d.join(c, "n", "left")
-    spans = F.array_sort(F.concat("scanned", F.coalesce("verified", none))) if asked else F.array_sort("scanned")
-    return common.sealed(d.withColumn("spans", spans), ["row", "t"], ["spans"])
+        d = d.withColumn("rules", F.array().cast("array<int>"))
+    d = d.select("row", text.alias("t"), "rules")
+    asked = [F.lit(True) if q is True else F.coalesce(F.array_contains("rules", i), F.lit(False)) for i, q in enumerate(queries)]
+    d = d.select("row", "t", *[F.when(asked[i] & F.col("t").rlike(r.pattern), _found(r, F.col("t"))).alias(f"m{i}") for i, r in enumerate(rules)])
+    return common.sealed(d.withColumn("spans", F.array_sort(_all_spans(rules, list(range(len(rules)))))), ["row", "t"], ["spans"])
 
 
 def listed(spans: str, rules: tuple[Rule, ...] = RULES, base: bool = False) -> Column:
