@@ -53,6 +53,19 @@ def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str, compression: str = "zstd") -> DataFrame:
+    """``df`` dealt by ``key`` and stored below the shared folder as a bucketed table.
+
+    Rows are shuffled once, for the table; later joins on ``key`` read the
+    buckets where they lie, at every size of the other side.
+    """
+    spark = df.sparkSession
+    table, n = f"{name.replace('-', '_')}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/{table}"
+    df.repartition(n, key).write.format("parquet").option("path", path).option("compression", compression).bucketBy(n, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def numbered(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
     """``df`` in ``order`` with running totals of what stands before each row, without a task that holds all rows.
 

@@ -38,7 +38,7 @@ from pointloom.llm import common
 
 MARKER = "▁"
 #: Bytes that each of two generations of remembered chunks takes.
-REMEMBER = 96 << 20
+REMEMBER = 40 << 20
 #: Longer chunks are encoded each time.
 LONGEST = 256
 #: Bytes of text that are cut into chunks at once.

@@ -180,17 +180,23 @@ def near_duplicates(fps: DataFrame, most: int = THRESHOLD) -> DataFrame:
     return common.looked_up(fps, common.staged(of, "class-components"), "fp").select("doc_id", "fp", "component_id")
 
 
+#: Rows of a batch that are sketched at once, so that a worker holds little beside the batch.
+_AT_ONCE = 512
+
+
 def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_py() for t in batch.column(0).cast(pa.binary())]
-        fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-        keys, bands = zip(*map(resemblance.sketch, texts), strict=True) if texts else ((), ())
-        new = [pa.array(fp.view(np.int64)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], "__fp", "__key", "__bands"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, _AT_ONCE):
+            batch = whole.slice(at, _AT_ONCE)
+            texts = [t.as_py() for t in batch.column(0).cast(pa.binary())]
+            fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+            keys, bands = zip(*map(resemblance.sketch, texts), strict=True)
+            new = [pa.array(fp.view(np.int64)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], "__fp", "__key", "__bands"])
 
 
 def near_copy_pairs(classes: DataFrame, texts: DataFrame, most: int = THRESHOLD) -> DataFrame:
-    """u, v: pairs of class ids whose texts resemble each other. ``classes`` (id, fp, bands) and ``texts`` (id, text) are stored."""
+    """u, v: pairs of class ids whose texts resemble each other. ``classes`` (id, fp, bands) and ``texts`` (__row: the id, text; bucketed by it) are stored."""
     named = classes.groupBy("fp").agg(F.min("id").alias("lead"))
     same = common.looked_up(classes.select("id", "fp"), common.staged(named, "fingerprint-leads"), "fp").filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
     linked = links(classes.select("fp").distinct(), most)
@@ -210,11 +216,11 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     d = docs.select(common.whole_text(F.col(text_col)).alias("__text"), F.monotonically_increasing_id().alias("__row"), "*")
-    d = common.staged(d.mapInArrow(_with_sketch, f"__row bigint, {kept}, __fp bigint, __key binary, __bands array<bigint>"), "sketched")
+    d = common.bucketed(d.mapInArrow(_with_sketch, f"__row bigint, {kept}, __fp bigint, __key binary, __bands array<bigint>"), "__row", "sketched")
     least = F.min(F.struct(F.col(id_col).isNull().alias("gone"), F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("id")))
     classes = d.groupBy("__key").agg(least.alias("least"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands"))
     classes = common.staged(classes.select(F.col("least.id").alias("id"), "least", "fp", "bands"), "copy-classes")
-    texts = d.select(F.col("__row").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    texts = d.select("__row", F.col(f"`{text_col}`").alias("text"))
     nodes = components.components(near_copy_pairs(classes, texts, most))
     groups = classes.select("id", "least").join(nodes.select(F.col("node").alias("id"), "root"), "id", "left")
     first = groups.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
