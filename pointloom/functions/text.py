@@ -73,14 +73,21 @@ def parse_id_list(v: Column) -> Column:
     return id_list(F.split(F.coalesce(v, F.lit("")), ","))
 
 
+def code_point(n: Column) -> Column:
+    """The character of a code point, beyond 255 too (``chr`` of Spark goes round at 256); an error if there is none."""
+    valid = n.between(0, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+    wide = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+    return F.when(valid, wide).when(n.isNotNull(), F.raise_error(F.concat(F.lit("no character has code point "), n.cast("string"))))
+
+
 def candidate_label(i: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA and so on."""
-    return F.when(i < 26, F.chr(65 + i)).otherwise(F.concat(F.chr(65 + F.floor(i / 26) - 1), F.chr(65 + i % 26)))
+    """0 -> A, 25 -> Z, 26 -> AA and so on; first letters go on by code point after ZZ."""
+    return F.when(i < 26, code_point(65 + i)).otherwise(F.concat(code_point(65 + F.floor(i / 26) - 1), code_point(65 + i % 26)))
 
 
 def candidate_label_numbered(i: Column) -> Column:
     """0 -> A, 25 -> Z, 26 -> C27 and so on."""
-    return F.when(i < 26, F.chr(65 + i)).otherwise(F.concat(F.lit("C"), (i + 1).cast("string")))
+    return F.when(i < 26, code_point(65 + i)).otherwise(F.concat(F.lit("C"), (i + 1).cast("string")))
 
 
 def sample_identifier(sample_id: Column, object_id: Column, task: Column) -> Column:

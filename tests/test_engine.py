@@ -23,6 +23,16 @@ def lattice(spark):
     return spark.createDataFrame(pts, "obj string, point long, x double, y double, z double")
 
 
+def test_labels_go_on_beyond_one_byte(spark):
+    """First letters of codes from 256 on, a byte order mark and four-byte characters, as chr gives them."""
+    firsts = [64, 90, 127, 128, 255, 256, 300, 0x1000, 0xD7FF, 0xE000, 0xFEFF, 0xFFFF, 0x10000, 0x10FFFF]
+    at = [26 * (f - 64) + k for f in firsts[1:] for k in (0, 25)]
+    got = spark.createDataFrame([(i,) for i in [*at, 0, -65, None]], "i long").select("i", text.candidate_label(F.col("i")).alias("v")).collect()
+    assert {r.i: r.v for r in got} == {i: chr(64 + i // 26) + chr(65 + i % 26) for i in at} | {0: "A", -65: "\0", None: None}
+    with pytest.raises(Exception, match="no character has code point 55296"):
+        spark.range(1).select(text.candidate_label(F.col("id") + 26 * (0xD800 - 64))).collect()
+
+
 def test_text_functions(spark):
     lit = F.lit
     assert one(spark, text.sanitize_id(lit("  a b/c__ "))) == "a_b_c"
