@@ -1,11 +1,25 @@
 """Resemblance of texts: the share of word shingles that two texts have in common.
 
 ``sketches`` gives what a search needs of each text: an exact key of its words
-and MinHash bands. Texts whose shingles agree by the wanted share meet in some
-band with near certainty (20 bands of 4 values: of pairs at a share of 0.8 one
-in 38,000 meets in none, of pairs at 0.9 one in 10**9). ``band_pairs`` links
-the members of a band to two of them, so a crowded band gives no square of
-pairs, and ``confirmed`` compares the whole sets of shingles of each pair.
+and MinHash bands. ``band_pairs`` links the members of a band to two of them, so a
+crowded band gives no square of pairs, and ``confirmed`` compares the whole
+sets of shingles of each pair. That finds nearly all groups at a low cost, yet
+some pairs meet in no band, or in crowded ones only. ``pairs_between`` finds
+every pair that is left between the groups, by exact filters:
+
+1. Two texts that resemble each other share four fifths of the shingles of each,
+   so the fifth of a text's shingles that comes first in any order, one more and
+   k more hold k + 1 shared ones or more (the k of the text that has the lesser
+   one). Shingles are ordered by hash, k is an eighth of their number; a text
+   of whose first ones too few stand in texts of other groups is done with.
+2. Of the rest, a text is done with that has less than four fifths of all its
+   shingles in common with the rest of other groups.
+3. The shingles of what is left are ordered by the number of texts, those in one
+   group only first; of each text the first fifth and one more are looked up.
+   Texts of different groups that meet there are compared exactly.
+
+Shingles are dealt to slots as 32-bit tags, in blocks of many texts; tags that
+meet by chance only let more texts pass.
 
 Shingles are ``WORDS`` words after A-Z are lowered; a text of fewer words is
 one shingle, and a text without words has none and resembles nothing (its key
@@ -15,8 +29,10 @@ says that it equals other such texts).
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +43,12 @@ WORDS = 5
 #: Texts resemble each other from NUMERATOR / DENOMINATOR of their shingles on.
 NUMERATOR, DENOMINATOR = 4, 5
 BANDS, VALUES = 20, 4
+#: One in so many shingles is read beside the shortest prefix.
+SPARE = 8
+#: Shingles of a slot, about, and those that a worker gathers before it deals them.
+SLOT, _GATHER = 2_000_000, 1_000_000
+#: Texts that share a looked-up shingle and meet in one group.
+CROWD = 1024
 #: Shingles that are worked on at once.
 _STEP = 2048
 _draw = np.random.default_rng(2024)
@@ -43,25 +65,30 @@ def _scrambled(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def sketch(text: bytes) -> tuple[bytes, np.ndarray]:
-    """The key of a UTF-8 text's words, and its band keys (none for a text without words)."""
-    words = text.lower().split()
-    key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+def _shingles(words: list[bytes]) -> np.ndarray:
+    """Hashes of the shingles of lowered words, repeats included."""
     n = len(words)
-    if not n:
-        return key, np.zeros(0, np.int64)
     digest = xxhash.xxh64_intdigest
     w = np.fromiter((digest(x, 7) for x in words), np.uint64, n)
     size = min(n, WORDS)
-    h = np.zeros(n - size + 1, np.uint64)
+    h = np.zeros(n - size + 1 if n else 0, np.uint64)
     for k in range(size):
         h += w[k : n - size + 1 + k] * _PLACE[k]
-    h = _scrambled(h)
+    return _scrambled(h)
+
+
+def sketch(text: bytes) -> tuple[bytes, np.ndarray, int]:
+    """The key of a UTF-8 text's words, its band keys (none for a text without words), its number of shingles with repeats."""
+    words = text.lower().split()
+    key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+    h = _shingles(words)
+    if not len(h):
+        return key, np.zeros(0, np.int64), 0
     low = np.full(BANDS * VALUES, 2**64 - 1, np.uint64)
     for at in range(0, len(h), _STEP):
         np.minimum(low, (h[at : at + _STEP, None] * _TIMES + _PLUS).min(axis=0), out=low)
     bands = (low.reshape(BANDS, VALUES) * _FOLD).sum(axis=1, dtype=np.uint64) + _NUMBER
-    return key, _scrambled(bands).view(np.int64)
+    return key, _scrambled(bands).view(np.int64), len(h)
 
 
 def band_pairs(texts: DataFrame) -> DataFrame:
@@ -100,3 +127,131 @@ def confirmed(pairs: DataFrame, texts: DataFrame, part: int = NUMERATOR, whole:
     d = common.looked_up(d, sets.select(F.col("id").alias("v"), F.col("s").alias("b")), "v", 100)
     shared = F.size(F.array_intersect("a", "b"))
     return d.filter((part + whole) * shared >= part * (F.size("a") + F.size("b"))).filter(F.size("a") > 0).select("u", "v")
+
+
+def needed(n):
+    """Shingles that a text of ``n`` shares at least with any that it resembles; such a text has as many at least."""
+    return -(-NUMERATOR * n // DENOMINATOR)
+
+
+#: The same for a column n.
+_NEEDED = f"(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})"
+
+
+def _dealt(slots: int, all_of_them: bool):
+    """Blocks of many texts' shingles by slot: of each text in it the id, group, number of shingles and how many follow, and the tags."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, groups, sizes = [], [], [], []
+
+        def blocks() -> pa.RecordBatch:
+            h = np.concatenate(held)
+            slot = (h & np.uint64(0xFFFFFFFF)) % np.uint64(slots)
+            order = np.argsort(slot, kind="stable")
+            slot, tag = slot[order], (h[order] >> np.uint64(32)).astype(np.uint32)
+            doc = np.repeat(np.arange(len(held)), [len(x) for x in held])[order]
+            run = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (doc[1:] != doc[:-1])])
+            count = np.diff(np.r_[run, len(doc)]).astype(np.uint32)
+            per_text = [np.array(x, t)[doc[run]] for x, t in ((ids, np.int64), (groups, np.int64), (sizes, np.uint32))] + [count]
+            names, at = np.unique(slot, return_index=True)
+            of_run = np.searchsorted(run, np.r_[at, len(doc)])
+            cut = [[x[a:b].tobytes() for a, b in zip(of_run[:-1], of_run[1:], strict=True)] for x in per_text]
+            tags = [tag[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(doc)], strict=True)]
+            for x in (held, ids, groups, sizes):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), *[pa.array(x, pa.binary()) for x in (*cut, tags)]], names=["slot", "ids", "roots", "sizes", "counts", "tags"])
+
+        many = 0
+        for batch in batches:
+            texts = batch.column(2).cast(pa.binary())
+            for k in range(batch.num_rows):
+                h = np.unique(_shingles(texts[k].as_py().lower().split()))
+                n = len(h)
+                if not n:
+                    continue
+                held.append(h if all_of_them else h[: n - needed(n) + 1 + n // SPARE].copy())
+                ids.append(batch.column(0)[k].as_py())
+                groups.append(batch.column(1)[k].as_py())
+                sizes.append(n)
+                many += len(held[-1])
+                if many >= _GATHER:
+                    many = 0
+                    yield blocks()
+        if held:
+            yield blocks()
+
+    return deal
+
+
+def _met(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids and sizes of a slot's texts; tag, text and number of texts of each shingle that stands in two groups or more."""
+    ids, roots, sizes, counts, tags = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("roots", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tags", np.uint32)))
+    doc = np.repeat(np.arange(len(ids), dtype=np.uint64), counts)
+    both = np.sort(tags.astype(np.uint64) << np.uint64(32) | doc)
+    tag, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, tag[1:] != tag[:-1]])
+    times = np.diff(np.r_[start, len(tag)])
+    root = roots[doc]
+    shared = np.repeat(np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start), times)
+    return ids, sizes, tag[shared], doc[shared], np.repeat(times, times)[shared]
+
+
+def _shared_counts(block: pa.Table) -> pa.Table:
+    ids, sizes, _, doc, _ = _met(block)
+    n = np.bincount(doc, minlength=len(ids))
+    hit = np.flatnonzero(n)
+    return pa.table({"id": ids[hit], "n": sizes[hit].astype(np.int32), "shared": n[hit].astype(np.int32)})
+
+
+def _rarest(block: pa.Table) -> pa.Table:
+    """Of each text the shared shingles in the order of the number of texts, no more than can be looked up."""
+    ids, sizes, tag, doc, times = _met(block)
+    order = np.lexsort((tag, times, doc))
+    tag, doc, times = tag[order], doc[order], times[order]
+    n = np.bincount(doc, minlength=len(ids))
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    size = sizes.astype(np.int64)
+    use = rank < (size - needed(size) + 1)[doc]
+    kept = np.bincount(doc[use], minlength=len(ids))
+    hit = np.flatnonzero(n)
+    slot = block.column("slot")[0].as_py()
+    entries = pa.StructArray.from_arrays([pa.array(times[use]), pa.array(slot << 32 | tag[use])], names=["times", "shingle"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(kept[hit])].astype(np.int32)), entries)
+    return pa.table({"id": pa.array(ids[hit]), "n": pa.array(sizes[hit].astype(np.int32)), "shared": pa.array(n[hit].astype(np.int32)), "entries": lists})
+
+
+def _slots(groups: DataFrame, texts: DataFrame, all_of_them: bool) -> DataFrame:
+    """The blocks of the texts that ``groups`` (id, root, n: shingles) names."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    share = 1 if all_of_them else 1 - NUMERATOR / DENOMINATOR + 1 / SPARE
+    named = texts.withColumnRenamed("__row", "id").join(groups.select("id", "root").hint("shuffle_hash"), "id").select("id", "root", common.whole_text(F.col("text")).alias("text"))
+    blocks = named.mapInArrow(_dealt(int(total * share) // SLOT + 1, all_of_them), "slot int, ids binary, roots binary, sizes binary, counts binary, tags binary")
+    return blocks.groupBy("slot")
+
+
+def _sieved(groups: DataFrame, texts: DataFrame, all_of_them: bool) -> DataFrame:
+    """``groups`` without the texts that can resemble none of another group."""
+    met = _slots(groups, texts, all_of_them).applyInArrow(_shared_counts, "id long, n int, shared int")
+    least = F.expr(_NEEDED if all_of_them else f"{_NEEDED} div {SPARE} + 1")
+    passed = met.groupBy("id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).filter(F.col("shared") >= least)
+    return common.staged(passed.select("id", "n").join(groups.select("id", "root"), "id"), "sieved")
+
+
+def pairs_between(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v: every pair of texts of different groups that resemble each other.
+
+    ``groups`` (id, root, n: shingles, repeats counted or not) and ``texts``
+    (__row: the id, text; bucketed by it) are stored.
+    """
+    left = _sieved(_sieved(groups, texts, False), texts, True)
+    rare = _slots(left, texts, True).applyInArrow(_rarest, "id long, n int, shared int, entries array<struct<times: bigint, shingle: bigint>>")
+    rare = rare.groupBy("id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.flatten(F.collect_list("entries")).alias("e"))
+    room = f"cast(shared - {_NEEDED} + 1 AS int)"
+    rare = rare.filter(f"{room} > 0").select("id", "n", F.explode(F.expr(f"slice(array_sort(e), 1, {room})")).alias("e"))
+    rare = common.staged(rare.select("id", "n", "e.shingle").distinct().join(left.select("id", "root"), "id"), "rarest")
+    crowds = rare.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).filter("a <> b")
+    rare = common.staged(common.looked_up(rare, common.staged(crowds.select("shingle", "blocks"), "shingle-blocks"), "shingle"), "rarest-blocks")
+    one = rare.select("shingle", F.expr("cast(pmod(xxhash64(id), blocks) AS int)").alias("block"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
+    other = rare.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
+    near = f"u < v AND ru <> rv AND {DENOMINATOR} * least(nu, nv) >= {NUMERATOR} * greatest(nu, nv)"
+    return confirmed(one.join(other, ["shingle", "block"]).filter(near).select("u", "v").distinct(), texts)

@@ -22,7 +22,8 @@ pairs.
 ``keep_representatives`` drops near copies: texts that share four fifths of
 their five-word shingles or more, by exact comparison of the sets. Candidates
 are the links of the fingerprints and, since texts of that likeness differ in 4
-to 12 bits as a rule, what meets in a band of ``resemblance``.
+to 12 bits as a rule, what meets in a band of ``resemblance``. Those give groups;
+``resemblance.pairs_between`` then finds every pair that they have left apart.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; repeated rows share class and component; a component's id is the least
@@ -190,13 +191,13 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = whole.slice(at, _AT_ONCE)
             texts = [t.as_py() for t in batch.column(0).cast(pa.binary())]
             fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            keys, bands = zip(*map(resemblance.sketch, texts), strict=True)
-            new = [pa.array(fp.view(np.int64)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], "__fp", "__key", "__bands"])
+            keys, bands, n = zip(*map(resemblance.sketch, texts), strict=True)
+            new = [pa.array(fp.view(np.int64)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *new], names=[*batch.schema.names[1:], "__fp", "__key", "__bands", "__n"])
 
 
 def near_copy_pairs(classes: DataFrame, texts: DataFrame, most: int = THRESHOLD) -> DataFrame:
-    """u, v: pairs of class ids whose texts resemble each other. ``classes`` (id, fp, bands) and ``texts`` (__row: the id, text; bucketed by it) are stored."""
+    """u, v: pairs of class ids whose texts resemble each other, not all of them (see ``resemblance.pairs_between``). ``classes`` (id, fp, bands) and ``texts`` (__row: the id, text; bucketed by it) are stored."""
     named = classes.groupBy("fp").agg(F.min("id").alias("lead"))
     same = common.looked_up(classes.select("id", "fp"), common.staged(named, "fingerprint-leads"), "fp").filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
     linked = links(classes.select("fp").distinct(), most)
@@ -216,14 +217,22 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     d = docs.select(common.whole_text(F.col(text_col)).alias("__text"), F.monotonically_increasing_id().alias("__row"), "*")
-    d = common.bucketed(d.mapInArrow(_with_sketch, f"__row bigint, {kept}, __fp bigint, __key binary, __bands array<bigint>"), "__row", "sketched")
+    d = common.bucketed(d.mapInArrow(_with_sketch, f"__row bigint, {kept}, __fp bigint, __key binary, __bands array<bigint>, __n bigint"), "__row", "sketched")
     least = F.min(F.struct(F.col(id_col).isNull().alias("gone"), F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("id")))
-    classes = d.groupBy("__key").agg(least.alias("least"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands"))
-    classes = common.staged(classes.select(F.col("least.id").alias("id"), "least", "fp", "bands"), "copy-classes")
+    classes = d.groupBy("__key").agg(least.alias("least"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands"), F.first("__n").alias("n"))
+    classes = common.staged(classes.select(F.col("least.id").alias("id"), "least", "fp", "bands", "n"), "copy-classes")
     texts = d.select("__row", F.col(f"`{text_col}`").alias("text"))
     nodes = components.components(near_copy_pairs(classes, texts, most))
-    groups = classes.select("id", "least").join(nodes.select(F.col("node").alias("id"), "root"), "id", "left")
-    first = groups.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("least").alias("least"))
+    groups = classes.select("id", "least", "n").join(nodes.select(F.col("node").alias("id"), "root"), "id", "left")
+    groups = common.staged(groups.withColumn("root", F.coalesce("root", "id")), "groups")
+    # what no search by fingerprint or band has joined: every pair that is left between the groups
+    pairs = resemblance.pairs_between(groups, texts)
+    for end in ("u", "v"):
+        pairs = pairs.join(groups.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end)
+    joined = components.components(pairs.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    least = groups.groupBy("root").agg(F.min("least").alias("least"))
+    least = least.join(joined.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left")
+    first = least.groupBy(F.coalesce("joined", "root").alias("root")).agg(F.min("least").alias("least"))
     stays = common.staged(first.select(F.col("least.id").alias("__row")), "stays")
     return d.join(stays, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pointloom.llm import chat, common, components, gbdt, media, mixing, pfor, pieces, quality_model, quality_rules, queries, secrets, simhash, token_store, toxicity, trigrams, word_bpe
+from pointloom.llm import chat, common, components, gbdt, media, mixing, pfor, pieces, quality_model, quality_rules, queries, resemblance, secrets, simhash, token_store, toxicity, trigrams, word_bpe
 
 BPE, PIECES = queries.tokenizer_file("word_bpe_49k.json"), queries.tokenizer_file("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -852,6 +852,47 @@ def test_representatives(spark, docs, clashing, empty):
     assert simhash.keep_representatives(empty).count() == 0
 
 
+def test_pairs_between_groups_are_all_found(spark, monkeypatch):
+    """Every pair at a likeness of 0.8 or more between groups, against brute force: short texts, shared passages, crowds, several slots and blocks."""
+    import random
+
+    pick = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    passages = [[pick.choice(words) for _ in range(pick.randint(4, 40))] for _ in range(12)]
+    texts = [["one"], ["one", "two"], ["a", "b", "c", "d"], []]
+    for _ in range(150):
+        t = sum(pick.sample(passages, pick.randint(1, 4)), []) + [pick.choice(words) for _ in range(pick.randint(0, 12))]
+        texts.append(t)
+        for _ in range(pick.randint(0, 2)):
+            t = list(t)
+            for at in pick.sample(range(len(t)), min(len(t), pick.randint(1, 3))):
+                t[at] = pick.choice(words)
+            texts.append(t + pick.choice(passages)[:3] * pick.randint(0, 1))
+    texts = [" ".join(t) for t in dict.fromkeys(map(tuple, texts))]
+    sets = [_brute_shingles(t) for t in texts]
+    like = {(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    table = common.bucketed(spark.createDataFrame(list(enumerate(texts)), "__row long, text string"), "__row", "between")
+    for slot, crowd, root in ((resemblance.SLOT, resemblance.CROWD, lambda i: i), (2000, 3, lambda i: i), (2000, 3, lambda i: i % 7)):
+        monkeypatch.setattr(resemblance, "SLOT", slot)
+        monkeypatch.setattr(resemblance, "CROWD", crowd)
+        groups = common.staged(spark.createDataFrame([(i, root(i), len(s)) for i, s in enumerate(sets)], "id long, root long, n long"), "between")
+        want = {(i, j) for i, j in like if root(i) != root(j)}
+        assert len(want) > 50 and sorted(tuple(r) for r in resemblance.pairs_between(groups, table).collect()) == sorted(want)
+
+
+def test_near_copies_that_meet_in_no_band(spark):
+    """Pairs at a likeness of 0.8 that agree in no band, and whose fingerprints differ in more than 3 bits."""
+    texts = []
+    for i in (5527, 22223, 64356):
+        a = " ".join(f"{w}{i}" for w in "abcdefghijklm")
+        texts += [a, a.rsplit(" ", 1)[0] + " z"]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        assert not set(resemblance.sketch(a.encode())[1]) & set(resemblance.sketch(b.encode())[1])
+        assert (simhash.fingerprint(a.encode()) ^ simhash.fingerprint(b.encode())).bit_count() > simhash.THRESHOLD
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in rows(simhash.keep_representatives(d))) == list(range(0, len(texts), 2)) == _brute_kept(list(enumerate(texts)))
+
+
 def test_near_copies_are_found_and_others_kept(spark):
     """Copies with changed words at likenesses about 0.8, clusters of many copies, and texts that share a passage."""
     import random
