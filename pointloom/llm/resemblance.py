@@ -5,7 +5,8 @@ and MinHash bands. ``band_pairs`` links the members of a band to two of them, so
 crowded band gives no square of pairs, and ``confirmed`` compares the whole
 sets of shingles of each pair. That finds nearly all groups at a low cost, yet
 some pairs meet in no band, or in crowded ones only. ``pairs_between`` finds
-every pair that is left between the groups, by exact filters:
+every pair that is left between the groups (``groups_linked`` the groups that
+they join), by exact filters:
 
 1. Two texts that resemble each other share four fifths of the shingles of each,
    so the fifth of a text's shingles that comes first in any order, one more and
@@ -16,7 +17,9 @@ every pair that is left between the groups, by exact filters:
    shingles in common with the rest of other groups.
 3. The shingles of what is left are ordered by the number of texts, those in one
    group only first; of each text the first fifth and one more are looked up.
-   Texts of different groups that meet there are compared exactly.
+   Texts of different groups that meet there are compared exactly, by chunks of
+   texts: those of a large group, or those whose most frequent looked-up shingle
+   is the same. A crowd makes a row for two chunks that meet, not for two texts.
 
 Shingles are dealt to slots as 32-bit tags, in blocks of many texts; tags that
 meet by chance only let more texts pass.
@@ -46,9 +49,11 @@ BANDS, VALUES = 20, 4
 #: One in so many shingles is read beside the shortest prefix.
 SPARE = 8
 #: Shingles of a slot, about, and those that a worker gathers before it deals them.
-SLOT, _GATHER = 2_000_000, 1_000_000
-#: Texts that share a looked-up shingle and meet in one group.
+SLOT, _GATHER = 1_000_000, 500_000
+#: Chunks that share a looked-up shingle and meet in one group.
 CROWD = 1024
+#: Shingles of a chunk, about; a text counts as ``_TEXT`` more.
+CHUNK, _TEXT = 2**15, 96
 #: Shingles that are worked on at once.
 _STEP = 2048
 _draw = np.random.default_rng(2024)
@@ -138,6 +143,11 @@ def needed(n):
 _NEEDED = f"(({NUMERATOR} * n + {DENOMINATOR - 1}) div {DENOMINATOR})"
 
 
+def _parts(block: pa.Table, **types: type) -> list[np.ndarray]:
+    """Columns of packed numbers, each as one array."""
+    return [np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in types.items()]
+
+
 def _dealt(slots: int, all_of_them: bool):
     """Blocks of many texts' shingles by slot: of each text in it the id, group, number of shingles and how many follow, and the tags."""
 
@@ -185,7 +195,7 @@ def _dealt(slots: int, all_of_them: bool):
 
 def _met(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids and sizes of a slot's texts; tag, text and number of texts of each shingle that stands in two groups or more."""
-    ids, roots, sizes, counts, tags = (np.frombuffer(b"".join(block.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("roots", np.int64), ("sizes", np.uint32), ("counts", np.uint32), ("tags", np.uint32)))
+    ids, roots, sizes, counts, tags = _parts(block, ids=np.int64, roots=np.int64, sizes=np.uint32, counts=np.uint32, tags=np.uint32)
     doc = np.repeat(np.arange(len(ids), dtype=np.uint64), counts)
     both = np.sort(tags.astype(np.uint64) << np.uint64(32) | doc)
     tag, doc = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -196,11 +206,36 @@ def _met(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return ids, sizes, tag[shared], doc[shared], np.repeat(times, times)[shared]
 
 
-def _shared_counts(block: pa.Table) -> pa.Table:
-    ids, sizes, _, doc, _ = _met(block)
-    n = np.bincount(doc, minlength=len(ids))
-    hit = np.flatnonzero(n)
-    return pa.table({"id": ids[hit], "n": sizes[hit].astype(np.int32), "shared": n[hit].astype(np.int32)})
+def _shared_counts(buckets: int):
+    """Of a slot's texts the number of shared shingles, packed by bucket of ids, so that there are not as many rows as texts times slots."""
+
+    def count(block: pa.Table) -> pa.Table:
+        ids, sizes, _, doc, _ = _met(block)
+        n = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
+        hit = np.flatnonzero(n)
+        bucket = _scrambled(ids[hit].view(np.uint64)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        hit = hit[order]
+        names, at = np.unique(bucket[order], return_index=True)
+        cut = [[x[hit[a:b]].tobytes() for a, b in zip(at, np.r_[at[1:], len(hit)], strict=True)] for x in (ids, sizes, n)]
+        return pa.table([pa.array(names.astype(np.int32)), *[pa.array(x, pa.binary()) for x in cut]], names=["bucket", "ids", "sizes", "shared"])
+
+    return count
+
+
+def _passed(all_of_them: bool):
+    """id and number of shingles of a bucket's texts that share as many as are needed."""
+
+    def add(block: pa.Table) -> pa.Table:
+        ids, sizes, shared = _parts(block, ids=np.int64, sizes=np.uint32, shared=np.uint32)
+        order = np.argsort(ids, kind="stable")
+        start = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
+        n = sizes[order][start].astype(np.int64)
+        least = needed(n) if all_of_them else needed(n) // SPARE + 1
+        enough = np.add.reduceat(shared[order].astype(np.int64), start) >= least
+        return pa.table({"id": ids[order][start][enough], "n": n[enough].astype(np.int32)})
+
+    return add
 
 
 def _rarest(block: pa.Table) -> pa.Table:
@@ -220,21 +255,78 @@ def _rarest(block: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(ids[hit]), "n": pa.array(sizes[hit].astype(np.int32)), "shared": pa.array(n[hit].astype(np.int32)), "entries": lists})
 
 
-def _slots(groups: DataFrame, texts: DataFrame, all_of_them: bool) -> DataFrame:
-    """The blocks of the texts that ``groups`` (id, root, n: shingles) names."""
+def _slots(groups: DataFrame, texts: DataFrame, all_of_them: bool) -> tuple[DataFrame, int]:
+    """The blocks of the texts that ``groups`` (id, root, n: shingles) names, by slot, and the number of slots."""
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = 1 if all_of_them else 1 - NUMERATOR / DENOMINATOR + 1 / SPARE
+    slots = int(total * share) // SLOT + 1
     named = texts.withColumnRenamed("__row", "id").join(groups.select("id", "root").hint("shuffle_hash"), "id").select("id", "root", common.whole_text(F.col("text")).alias("text"))
-    blocks = named.mapInArrow(_dealt(int(total * share) // SLOT + 1, all_of_them), "slot int, ids binary, roots binary, sizes binary, counts binary, tags binary")
-    return blocks.groupBy("slot")
+    return named.mapInArrow(_dealt(slots, all_of_them), "slot int, ids binary, roots binary, sizes binary, counts binary, tags binary"), slots
 
 
 def _sieved(groups: DataFrame, texts: DataFrame, all_of_them: bool) -> DataFrame:
     """``groups`` without the texts that can resemble none of another group."""
-    met = _slots(groups, texts, all_of_them).applyInArrow(_shared_counts, "id long, n int, shared int")
-    least = F.expr(_NEEDED if all_of_them else f"{_NEEDED} div {SPARE} + 1")
-    passed = met.groupBy("id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared")).filter(F.col("shared") >= least)
-    return common.staged(passed.select("id", "n").join(groups.select("id", "root"), "id"), "sieved")
+    blocks, slots = _slots(groups, texts, all_of_them)
+    met = blocks.groupBy("slot").applyInArrow(_shared_counts(slots), "bucket int, ids binary, sizes binary, shared binary")
+    passed = met.groupBy("bucket").applyInArrow(_passed(all_of_them), "id long, n int")
+    return common.staged(passed.join(groups.select("id", "root"), "id"), "sieved")
+
+
+def _looked_up_shingles(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, n, root, shingles: what is left of ``groups``, with the shingles that are looked up, the most frequent one last."""
+    left = _sieved(_sieved(groups, texts, False), texts, True)
+    rare = _slots(left, texts, True)[0].groupBy("slot").applyInArrow(_rarest, "id long, n int, shared int, entries array<struct<times: bigint, shingle: bigint>>")
+    rare = rare.groupBy("id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.flatten(F.collect_list("entries")).alias("e"))
+    room = f"cast(shared - {_NEEDED} + 1 AS int)"
+    rare = rare.filter(f"{room} > 0").select("id", "n", F.expr(f"slice(array_sort(e), 1, {room}).shingle").alias("shingles"))
+    return common.staged(rare.filter("size(shingles) > 0").join(left.select("id", "root"), "id"), "rarest")
+
+
+def _chunked(rare: DataFrame) -> DataFrame:
+    """``rare`` with the chunk of each text: of a large group's texts, or of those whose last shingle is the same, about ``CHUNK`` shingles."""
+    weight = F.sum(F.col("n") + _TEXT)
+    large = rare.groupBy("root").agg(weight.alias("w")).filter(F.col("w") * 2 > CHUNK).select("root", F.lit(True).alias("large"))
+    rare = rare.join(large, "root", "left").withColumn("home", F.expr("CASE WHEN large THEN xxhash64(0, root) ELSE xxhash64(1, element_at(shingles, -1)) END"))
+    cut = rare.groupBy("home").agg(F.ceil(weight / CHUNK).cast("int").alias("parts")).filter("parts > 1")
+    rare = rare.join(cut, "home", "left").withColumn("chunk", F.expr("xxhash64(home, CASE WHEN parts IS NULL THEN 0 ELSE pmod(xxhash64(id), parts) END)"))
+    return common.staged(rare.select("id", "n", "root", "chunk", "shingles"), "rarest-chunks")
+
+
+def _chunk_pairs(rare: DataFrame) -> DataFrame:
+    """s, l: chunks (also a chunk and itself) with texts of different groups that meet at a shingle and may resemble each other; s is the one of less shingles."""
+    at = rare.select("chunk", "n", "root", F.explode("shingles").alias("shingle")).groupBy("shingle", "chunk")
+    at = common.staged(at.agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("root").alias("a"), F.max("root").alias("b")), "chunk-shingles")
+    crowds = at.groupBy("shingle").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).filter("a <> b")
+    at = common.staged(common.looked_up(at, common.staged(crowds.select("shingle", "blocks"), "shingle-blocks"), "shingle"), "shingle-chunks")
+    end = lambda k: [F.col(c).alias(f"{c}{k}") for c in ("chunk", "n", "most", "a", "b")]
+    one = at.select("shingle", F.expr("cast(pmod(xxhash64(chunk), blocks) AS int)").alias("block"), *end(1))
+    other = at.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *end(2))
+    near = f"{DENOMINATOR} * most1 >= {NUMERATOR} * n2 AND {DENOMINATOR} * most2 >= {NUMERATOR} * n1"
+    pairs = one.join(other, ["shingle", "block"]).filter(f"chunk1 <= chunk2 AND {near} AND (least(a1, a2) <> greatest(b1, b2))").select("chunk1", "chunk2").distinct()
+    weight = rare.groupBy("chunk").agg(F.sum("n").alias("w"))
+    for k in (1, 2):
+        pairs = pairs.join(weight.select(F.col("chunk").alias(f"chunk{k}"), F.col("w").alias(f"w{k}")), f"chunk{k}")
+    return pairs.select(F.expr("CASE WHEN w1 <= w2 THEN chunk1 ELSE chunk2 END").alias("s"), F.expr("CASE WHEN w1 <= w2 THEN chunk2 ELSE chunk1 END").alias("l"))
+
+
+def _links_between(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """links (array of u, v, root_u, root_v): for each two chunks that meet, the texts of different groups that resemble each other."""
+    rare = _chunked(_looked_up_shingles(groups, texts))
+    many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = common.staged(_chunk_pairs(rare).repartition(many, "s", "l"), "chunk-pairs")
+    met = pairs.select(F.col("s").alias("chunk")).union(pairs.select("l")).distinct()
+    named = rare.join(met, "chunk", "left_semi").select(F.col("id").alias("__row"), "root", "chunk")
+    sets = texts.join(named, "__row").select("chunk", F.struct(F.col("__row").alias("id"), "root", shingle_set(F.col("text")).alias("s")).alias("text"))
+    chunks = common.staged(sets.groupBy("chunk").agg(F.collect_list("text").alias("texts")), "chunks")
+    # few rows with much work each: dealt to as many tasks as there are partitions
+    d = common.looked_up(pairs, chunks.select(F.col("chunk").alias("s"), F.col("texts").alias("x")), "s", 100)
+    d = common.staged(d.repartition(many, "s", "l"), "half-pairs")
+    d = common.looked_up(d, chunks.select(F.col("chunk").alias("l"), F.col("texts").alias("y")), "l", 100)
+    a, b = "size(p.s)", "size(q.s)"
+    like = f"{NUMERATOR + DENOMINATOR} * size(array_intersect(p.s, q.s)) >= {NUMERATOR} * ({a} + {b})"
+    near = f"p.root <> q.root AND (s <> l OR p.id < q.id) AND {DENOMINATOR} * least({a}, {b}) >= {NUMERATOR} * greatest({a}, {b}) AND {like}"
+    link = "named_struct('u', least(p.id, q.id), 'v', greatest(p.id, q.id), 'root_u', least(p.root, q.root), 'root_v', greatest(p.root, q.root))"
+    return d.select(F.expr(f"flatten(transform(x, p -> transform(filter(y, q -> {near}), q -> {link})))").alias("links"))
 
 
 def pairs_between(groups: DataFrame, texts: DataFrame) -> DataFrame:
@@ -243,15 +335,10 @@ def pairs_between(groups: DataFrame, texts: DataFrame) -> DataFrame:
     ``groups`` (id, root, n: shingles, repeats counted or not) and ``texts``
     (__row: the id, text; bucketed by it) are stored.
     """
-    left = _sieved(_sieved(groups, texts, False), texts, True)
-    rare = _slots(left, texts, True).applyInArrow(_rarest, "id long, n int, shared int, entries array<struct<times: bigint, shingle: bigint>>")
-    rare = rare.groupBy("id").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.flatten(F.collect_list("entries")).alias("e"))
-    room = f"cast(shared - {_NEEDED} + 1 AS int)"
-    rare = rare.filter(f"{room} > 0").select("id", "n", F.explode(F.expr(f"slice(array_sort(e), 1, {room})")).alias("e"))
-    rare = common.staged(rare.select("id", "n", "e.shingle").distinct().join(left.select("id", "root"), "id"), "rarest")
-    crowds = rare.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / CROWD).cast("int").alias("blocks")).filter("a <> b")
-    rare = common.staged(common.looked_up(rare, common.staged(crowds.select("shingle", "blocks"), "shingle-blocks"), "shingle"), "rarest-blocks")
-    one = rare.select("shingle", F.expr("cast(pmod(xxhash64(id), blocks) AS int)").alias("block"), F.col("id").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-    other = rare.select("shingle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-    near = f"u < v AND ru <> rv AND {DENOMINATOR} * least(nu, nv) >= {NUMERATOR} * greatest(nu, nv)"
-    return confirmed(one.join(other, ["shingle", "block"]).filter(near).select("u", "v").distinct(), texts)
+    return _links_between(groups, texts).select(F.explode("links").alias("p")).select("p.u", "p.v")
+
+
+def groups_linked(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """u, v (u < v): the roots of every two groups with texts that resemble each other, once for two chunks; ``groups`` and ``texts`` as above."""
+    roots = "array_distinct(transform(links, p -> struct(p.root_u AS u, p.root_v AS v)))"
+    return _links_between(groups, texts).select(F.explode(F.expr(roots)).alias("p")).select("p.u", "p.v").distinct()

@@ -23,7 +23,7 @@ pairs.
 their five-word shingles or more, by exact comparison of the sets. Candidates
 are the links of the fingerprints and, since texts of that likeness differ in 4
 to 12 bits as a rule, what meets in a band of ``resemblance``. Those give groups;
-``resemblance.pairs_between`` then finds every pair that they have left apart.
+``resemblance.groups_linked`` then finds every link that they have left apart.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any
 other; repeated rows share class and component; a component's id is the least
@@ -197,7 +197,7 @@ def _with_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copy_pairs(classes: DataFrame, texts: DataFrame, most: int = THRESHOLD) -> DataFrame:
-    """u, v: pairs of class ids whose texts resemble each other, not all of them (see ``resemblance.pairs_between``). ``classes`` (id, fp, bands) and ``texts`` (__row: the id, text; bucketed by it) are stored."""
+    """u, v: pairs of class ids whose texts resemble each other, not all of them (see ``resemblance.groups_linked``). ``classes`` (id, fp, bands) and ``texts`` (__row: the id, text; bucketed by it) are stored."""
     named = classes.groupBy("fp").agg(F.min("id").alias("lead"))
     same = common.looked_up(classes.select("id", "fp"), common.staged(named, "fingerprint-leads"), "fp").filter("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
     linked = links(classes.select("fp").distinct(), most)
@@ -225,11 +225,8 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = components.components(near_copy_pairs(classes, texts, most))
     groups = classes.select("id", "least", "n").join(nodes.select(F.col("node").alias("id"), "root"), "id", "left")
     groups = common.staged(groups.withColumn("root", F.coalesce("root", "id")), "groups")
-    # what no search by fingerprint or band has joined: every pair that is left between the groups
-    pairs = resemblance.pairs_between(groups, texts)
-    for end in ("u", "v"):
-        pairs = pairs.join(groups.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end)
-    joined = components.components(pairs.select(F.col("root_u").alias("u"), F.col("root_v").alias("v")))
+    # what no search by fingerprint or band has joined: every link that is left between the groups
+    joined = components.components(resemblance.groups_linked(groups, texts))
     least = groups.groupBy("root").agg(F.min("least").alias("least"))
     least = least.join(joined.select(F.col("node").alias("root"), F.col("root").alias("joined")), "root", "left")
     first = least.groupBy(F.coalesce("joined", "root").alias("root")).agg(F.min("least").alias("least"))

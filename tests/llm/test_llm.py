@@ -880,6 +880,47 @@ def test_pairs_between_groups_are_all_found(spark, monkeypatch):
         assert len(want) > 50 and sorted(tuple(r) for r in resemblance.pairs_between(groups, table).collect()) == sorted(want)
 
 
+def _rows_made(spark, since):
+    """The most rows that a join or Python node of a plan has made in executions from number ``since`` on, and the next number."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    done, most = store.executionsList(), 0
+    for e in (done.apply(k) for k in range(done.size())):
+        if e.executionId() < since:
+            continue
+        values, found = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for node in (found.apply(k) for k in range(found.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if m.name() == "number of output rows" and any(x in node.name() for x in ("Join", "Arrow", "Generate")):
+                    most = max(most, int(values.get(m.accumulatorId()).getOrElse(None).replace(",", "")) if values.contains(m.accumulatorId()) else 0)
+    return most, max([since - 1, *(done.apply(k).executionId() for k in range(done.size()))]) + 1
+
+
+def test_links_between_crowds_make_few_rows(spark, monkeypatch):
+    """Two groups of near copies with a few links between them: no row for each pair of texts that meet, none for each text and slot."""
+    import random
+
+    pick = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(300):  # each differs from the base in a word of its own half, and the halves in a passage
+        t = list(base)
+        t[pick.randrange(10, 50)] = f"x{i}"
+        texts.append(t if i % 2 else [*t[:-7], *(f"y{k}" for k in range(9))])
+    table = common.bucketed(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "__row long, text string"), "__row", "crowds")
+    groups = common.staged(spark.createDataFrame([(i, i % 2, len(t) - 4) for i, t in enumerate(texts)], "id long, root long, n long"), "crowds")
+    sets = [_brute_shingles(" ".join(t)) for t in texts]
+    want = {(i, j) for j in range(300) for i in range(j) if (j - i) % 2 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert want
+    assert {tuple(r) for r in resemblance.pairs_between(groups, table).collect()} == want
+    monkeypatch.setattr(resemblance, "SLOT", 2000)
+    since = _rows_made(spark, 0)[1]
+    assert [tuple(r) for r in resemblance.groups_linked(groups, table).collect()] == [(0, 1)]
+    assert 0 < _rows_made(spark, since)[0] <= 10_000
+    since = _rows_made(spark, since)[1]
+    assert 0 < resemblance._sieved(groups, table, True).count() <= 300
+    assert 0 < _rows_made(spark, since)[0] <= 1200
+
+
 def test_near_copies_that_meet_in_no_band(spark):
     """Pairs at a likeness of 0.8 that agree in no band, and whose fingerprints differ in more than 3 bits."""
     texts = []
