@@ -49,7 +49,7 @@ BANDS, VALUES = 20, 4
 #: One in so many shingles is read beside the shortest prefix.
 SPARE = 8
 #: Shingles of a slot, about, and those that a worker gathers before it deals them.
-SLOT, _GATHER = 1_000_000, 500_000
+SLOT, _GATHER = 500_000, 250_000
 #: Chunks that share a looked-up shingle and meet in one group.
 CROWD = 1024
 #: Shingles of a chunk, about; a text counts as ``_TEXT`` more.
