@@ -217,7 +217,8 @@ def _shared_counts(buckets: int):
         order = np.argsort(bucket, kind="stable")
         hit = hit[order]
         names, at = np.unique(bucket[order], return_index=True)
-        cut = [[x[hit[a:b]].tobytes() for a, b in zip(at, np.r_[at[1:], len(hit)], strict=True)] for x in (ids, sizes, n)]
+        ends = np.r_[at, len(hit)]  # no bucket if nothing is shared
+        cut = [[x[hit[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)] for x in (ids, sizes, n)]
         return pa.table([pa.array(names.astype(np.int32)), *[pa.array(x, pa.binary()) for x in cut]], names=["bucket", "ids", "sizes", "shared"])
 
     return count
