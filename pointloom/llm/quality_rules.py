@@ -31,34 +31,42 @@ SMOOTHING = 1.0
 #: A document whose mean log ratio is below is rejected.
 THRESHOLD = -0.3
 SYMBOLS = r"[#*$%&|<>]"
+#: ``common.SPACE`` with each character by itself, which Java looks up in a set; ranges it tries one by one.
+SPACE = r"[ \t\n\x0B\f\r]+"
+_ASCII = {c: f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()}
 #: Runs of letters and digits (ASCII ones, and all beyond ASCII), and runs of ASCII marks.
-TOKEN = r"[0-9A-Za-z\x80-\x{10FFFF}]+|[!-/:-@\[-`{-~]+"
+TOKEN = f"[^{''.join(_ASCII.values())}]+|[{''.join(v for c, v in _ASCII.items() if 32 < c < 127)}]+"
 
 
 def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``row`` (the columns of ``docs``), ``t`` (its text) and the base statistics.
 
-    Repeated three-word windows are found in each row by sorting (hash, place)
-    pairs packed into one integer; windows whose hashes agree are then compared
-    as text, so a hash collision never counts.
+    Repeated three-word windows are looked for where two hashes agree: there,
+    (hash, place) pairs packed into one integer are sorted, and windows whose
+    hashes agree are compared as text, so a hash collision never counts.
     """
     d = docs.select(F.struct("*").alias("row"), common.whole_text(F.col(text_col)).alias("t"))
     d = d.withColumn("trimmed", F.expr(r"trim(BOTH ' \t\n\u000B\f\r' FROM t)"))
-    d = d.select("row", "t", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", common.SPACE)).alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(common.WORD)).alias("lines"))
+    d = d.select("row", "t", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", SPACE)).alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(common.WORD)).alias("lines"))
     d = d.select(
         "row", "t", "words", F.size("words").alias("n"), F.length(F.bin(F.size("words").cast("long"))).alias("bits"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("t") - F.char_length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
-    d = d.withColumn("packed", F.expr(
-        "sort_array(transform(slice(words, 1, greatest(n - 2, 0)), (w, i) -> shiftleft(xxhash64(w, words[i + 1], words[i + 2]), bits) | cast(i AS bigint)))"
+    d = d.withColumn("windows", F.expr(
+        "transform(arrays_zip(slice(words, 1, greatest(n - 2, 0)), slice(words, 2, greatest(n - 2, 0)), slice(words, 3, n)), x -> xxhash64(x))"
     ))
+    d = d.withColumn("packed", F.expr(
+        "CASE WHEN size(array_distinct(windows)) < size(windows)"
+        " THEN sort_array(transform(windows, (h, i) -> shiftleft(h, bits) | cast(i AS bigint))) ELSE cast(array() AS array<bigint>) END"
+    )).drop("windows")
     d = d.withColumn("near", F.expr(
         "filter(packed, (x, i) -> shiftrightunsigned(x ^ get(packed, i - 1), bits) = 0 OR shiftrightunsigned(x ^ get(packed, i + 1), bits) = 0)"
     )).drop("packed")
+    d = d.withColumn("near", F.expr("transform(near, x -> cast(x & (shiftleft(1L, bits) - 1) AS int))"))
     d = d.withColumn("near", F.expr(
-        "array_sort(transform(near, x -> struct(array_join(slice(words, cast(x & (shiftleft(1L, bits) - 1) AS int) + 1, 3), ' ') AS w, x & (shiftleft(1L, bits) - 1) AS at)))"
+        "sort_array(transform(near, i -> struct(concat_ws(' ', words[i], words[i + 1], words[i + 2]) AS w, cast(i AS bigint) AS at)))"
     ))
     d = d.withColumn("at", F.expr(
         "sort_array(transform(filter(near, (x, i) -> x.w = get(near, i - 1).w OR x.w = get(near, i + 1).w), x -> x.at))"
@@ -72,13 +80,15 @@ def base_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def features(text: str):
-    """Hashes of a text column's features: each token, and each token with the one before it. Their low bits are the bucket."""
-    tokens = f"regexp_extract_all({text}, '{TOKEN}', 0)".replace("\\", "\\\\")
-    return F.expr(
-        f"flatten(transform(array({tokens}), k -> concat(transform(k, x -> xxhash64(x)),"
-        f" zip_with(slice(k, 1, greatest(size(k) - 1, 0)), slice(k, 2, greatest(size(k) - 1, 0)), (x, y) -> xxhash64(x, y)))))"
-    )
+def tokens(text: str):
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+
+
+#: Hashes of the features of the tokens ``k``: each token, and each token with the one before it. Their low bits are the bucket.
+FEATURES = (
+    "concat(transform(k, x -> xxhash64(x)),"
+    " zip_with(slice(k, 1, greatest(size(k) - 1, 0)), slice(k, 2, greatest(size(k) - 1, 0)), (x, y) -> xxhash64(x, y)))"
+)
 
 
 def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
@@ -93,7 +103,10 @@ def ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col
     # rows without an id match nothing and are dealt by their text, not all to one task
     d = d.select("t", F.coalesce(F.col("id").cast("long"), F.xxhash64("t")).alias("id"), F.col("id").isNull().alias("none"))
     d = d.join(ids.hint("shuffle_hash"), (F.col("id") == F.col("trusted_id")) & (F.col("none") == F.col("trusted_none")), "left")
-    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("in_target"), F.explode(features("t")).alias("h"))
+    # the same hashes as FEATURES, but a row for each token, so that all is compiled code: lambda functions are not
+    d = d.select(F.col("trusted_id").isNotNull().cast("long").alias("in_target"), tokens("t").alias("k"))
+    d = d.select("in_target", F.inline(F.expr("arrays_zip(k, slice(k, 2, size(k)))")).alias("x", "y"))
+    d = d.select("in_target", F.explode(F.array(F.xxhash64("x"), F.when(F.col("y").isNotNull(), F.xxhash64("x", "y")))).alias("h")).filter("h IS NOT NULL")
     d = d.withColumn("bucket", F.col("h").bitwiseAND(F.lit(buckets - 1)).cast("int"))
     counts = d.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("in_target").alias("target"))
     every = docs.sparkSession.range(0, buckets, 1, 1).select(F.col("id").cast("int").alias("bucket"))
@@ -113,9 +126,11 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, ratio: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """``row``, the base statistics, ``base_failed``, ``score`` and ``kept`` of every document."""
     table = ratio.agg(F.expr("transform(array_sort(collect_list(struct(bucket, ratio))), x -> x.ratio)").alias("r")).scalar()
-    d = base_stats(docs, text_col).withColumn("table", table).withColumn("f", features("t"))
-    total = F.expr(f"aggregate(f, 0D, (s, h) -> s + table[cast(h & {buckets - 1} AS int)])")
-    d = d.withColumn("score", F.when(F.size("f") == 0, F.lit(0.0)).otherwise(total / F.size("f")))
+    d = base_stats(docs, text_col).withColumn("k", tokens("t")).drop("t")
+    d = d.withColumn("f", F.expr(FEATURES)).drop("k")
+    # f is read twice here and table once below, so the optimizer puts the table into the sum instead of copying it into each row
+    d = d.withColumns({"m": F.greatest(F.size("f"), F.lit(1)), "table": table})
+    d = d.withColumn("score", F.expr(f"aggregate(f, 0D, (s, h) -> s + get(table, cast(h & {buckets - 1} AS int)))") / F.col("m"))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return common.sealed(d, ["row"], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"])
 

@@ -37,6 +37,35 @@ def test_shards_round_trip(ids, block, percentile):
     assert pfor.read_range(data, 5, 300).tolist() == ids[5:300]
 
 
+def _plan(d):
+    return d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_rules_cost_per_word(spark, docs):
+    # counts run as compiled code, tokens are exploded as they are, without lambda functions
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    plan = _plan(quality_rules.ratios(docs, trusted))
+    assert "inline(arrays_zip" in plan and "lambdafunction" not in plan
+    # the ratios stand in the sum itself and are no column, which each row would copy
+    ratio = common.staged(quality_rules.ratios(docs, trusted), "r")
+    plan = _plan(quality_rules.judge(docs, ratio))
+    assert "Subquery subquery" in plan and " AS table#" not in plan
+    # no slice of all words for each repeated window: they are looked up one by one
+    assert "array_join(slice(" not in plan
+
+
+@pytest.mark.parametrize("text", ["a b c " * 20_000, "x y z", "x y", "a a a a", "a b c d a b c", "\x1f a\x1f b c\n\x0b a\x1f b c\r", "é~`^ é~`^ é~`^ \x7f \x80é 😀 0Z"])
+def test_repeated_windows_of_odd_texts(spark, text):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    ratio = spark.range(64).selectExpr("cast(id AS int) AS bucket", "id / 64D AS ratio")
+    r = rows(quality_rules.judge(d, ratio, buckets=64))[0]
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == _brute_rules(text)
+    k = [x.encode() for x in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+|[!-/:-@\[-`{-~]+", text)]
+    one = [xxhash.xxh64_intdigest(x, 42) for x in k]
+    want = [h % 64 / 64 for h in one + [xxhash.xxh64_intdigest(b, a) for a, b in zip(one, k[1:])]]
+    assert r["score"] == pytest.approx(sum(want) / len(want))
+
+
 def test_shards_patch_outliers():
     ids = np.full(1280, 7, dtype=np.uint32)
     ids[::100] = 2**31
