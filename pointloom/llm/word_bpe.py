@@ -2,8 +2,10 @@
 
 The model drops white space, so the ids of a text are the ids of its chunks
 between ASCII white space in order. Chunks repeat a lot; each worker remembers
-the ids of those it saw, up to a number of bytes, and asks the library for the
-rest. Very long chunks (texts without blanks) are never remembered.
+the ids of those it saw and of their pieces, up to a number of bytes, and asks
+the library for the rest. A piece is remembered as the chunk that consists of
+it, so nothing is held twice. Very long chunks (texts without blanks) are never
+remembered.
 """
 
 from __future__ import annotations
@@ -75,25 +77,30 @@ class WordBpe:
         self.specials = [t["content"].encode() for t in spec.get("added_tokens", [])]
         self.model = self.library.model
         self.letters = _byte_letters()
-        self.pieces = Memo(self._piece)
-        self.chunks = Memo(self._chunk)
+        self.chunks = Memo(self._chunk, 2 * REMEMBER)  # chunks and pieces
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
+    def _piece(self, piece: bytes) -> bytes:
+        letters = piece.decode("latin-1")
+        if not (letters.isascii() and letters.isprintable()):
+            letters = letters.translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
-        if not chunk.isascii() and not _LATIN.fullmatch(chunk.decode()):
-            return self._whole(chunk.decode())
-        text = chunk.decode().lower()
-        if text.isalpha():
-            return self.pieces[text]
-        if text[:-1].isalpha() and text[-1] not in "\x85\xa0":
-            return self.pieces[text[:-1]] + self.pieces[text[-1]]
-        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
+        low = chunk.lower()  # of ASCII letters
+        if low.isalpha():
+            return self._piece(low) if low == chunk else self.chunks[low]
+        if low[:-1].isalpha() and low[-1] < 128:
+            return self.chunks[low[:-1]] + self.chunks[low[-1:]]
+        text = chunk.decode()
+        if not chunk.isascii() and not _LATIN.fullmatch(text):
+            return self._whole(text)
+        pieces = [p.encode() for p in _PIECE.findall(text.lower())]
+        if len(pieces) != 1:
+            return b"".join(map(self.chunks.__getitem__, pieces))
+        return self._piece(chunk) if pieces[0] == chunk else self.chunks[pieces[0]]
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian 32-bit integers, without special tokens."""

@@ -83,6 +83,22 @@ def test_encoder_equals_library(docs):
         assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_holds_nothing_twice():
+    e = word_bpe.WordBpe(BPE)
+    e.encode(b"word Word word,")
+    memos = [m for m in vars(e).values() if isinstance(m, word_bpe.Memo)]
+    assert sorted(k if isinstance(k, bytes) else k.encode() for m in memos for k in m) == [b",", b"Word", b"word", b"word,"]
+    # generations change while a chunk's pieces are being looked up
+    for m in memos:
+        m.size = 1000
+    letters = "aAbsStre' 09²½.,-\x01\x1c\x7f\x85\xa0\xadéÉßſŸİıµ日\u0308\n"
+    draw = np.random.default_rng(5)
+    for _ in range(3000):
+        t = "".join(letters[i] for i in draw.integers(0, len(letters), draw.integers(0, 12)))
+        assert np.frombuffer(e.encode(t.encode()), "<u4").tolist() == e.library.encode(t, add_special_tokens=False).ids, ascii(t)
+    assert all(m.held <= 1000 + 1000 and len(m) + len(m.old) < 20 for m in memos)
+
+
 def test_memory_is_bounded_in_bytes():
     m = word_bpe.Memo(lambda k: k * 2, size=20_000)
     for i in range(5000):
